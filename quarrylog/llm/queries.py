@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylog.llm import mixing
+from quarrylog.llm import mixing, url_filter, warc
 
-QUERIES = {"op8_mixing": mixing.op8_mixing}
+QUERIES = {"op2_url_filter": url_filter.op2_url_filter, "op7_warc": warc.op7_warc, "op8_mixing": mixing.op8_mixing}
 SQL = {"op8_mixing": mixing.OP8_SQL}
