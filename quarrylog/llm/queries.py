@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from quarrylog.llm import mixing, url_filter, warc
+from quarrylog.llm import decontam, license_scan, mixing, url_filter, warc
 
-QUERIES = {"op2_url_filter": url_filter.op2_url_filter, "op7_warc": warc.op7_warc, "op8_mixing": mixing.op8_mixing}
-SQL = {"op8_mixing": mixing.OP8_SQL}
+QUERIES = {
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op4_decontaminate": decontam.op4_decontaminate,
+    "op7_warc": warc.op7_warc,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_license_scan": license_scan.op9_license_scan,
+}
+SQL = {"op4_decontaminate": decontam.OP4_SQL, "op8_mixing": mixing.OP8_SQL}
