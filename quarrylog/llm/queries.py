@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarrylog.llm import decontam, license_scan, mixing, url_filter, warc
+from quarrylog.llm import decontam, license_scan, mixing, ngram_join, url_filter, warc
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_url_filter": url_filter.op2_url_filter,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op7_warc": warc.op7_warc,

@@ -51,6 +51,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+    """Arrow batches to Python are cut by bytes too, so that a run of very long texts fits in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; else as it is, for a shuffled join. Give it a stashed or cheap df: it is counted."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
