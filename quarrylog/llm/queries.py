@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from quarrylog.llm import decontam, license_scan, mixing, ngram_join, url_filter, warc
+from quarrylog.llm import decontam, embed_dedup, license_scan, mixing, ngram_join, url_filter, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_url_filter": url_filter.op2_url_filter,
     "op4_decontaminate": decontam.op4_decontaminate,
+    "op5_embedding_dedup": embed_dedup.op5_embedding_dedup,
     "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
     "op9_license_scan": license_scan.op9_license_scan,
 }
-SQL = {"op4_decontaminate": decontam.OP4_SQL, "op8_mixing": mixing.OP8_SQL}
+SQL = {"op4_decontaminate": decontam.OP4_SQL, "op5_embedding_dedup": embed_dedup.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
