@@ -74,7 +74,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_hit: float =
     """The rows of docs, all columns, whose share of hit words is at most most_hit."""
     key = F.xxhash64(F.coalesce(F.md5("text"), F.lit("")), "doc_id")
     judged = decontaminate(docs, benchmark, n).where(F.col("n_hit") > F.col("n_words") * most_hit).select(F.col("key").alias("_hit")).distinct()
-    return docs.join(judged, key == F.col("_hit"), "left_anti")
+    return docs.join(small(stash(judged, "contaminated"), 1_000_000), key == F.col("_hit"), "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

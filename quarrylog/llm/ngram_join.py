@@ -276,5 +276,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return sets.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), "sid", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, but one for each group: that of the smallest doc_id. Rows without doc_id stay."""
+    found = stash(near_copies(docs).select("doc_id", "component_id"), "groups")
+    others = small(found.where("doc_id <> component_id").select("doc_id").distinct(), 1_000_000)
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    again = small(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), 1_000_000)
+    if not again.limit(1).count():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

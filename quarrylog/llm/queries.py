@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quarrylog.llm import decontam, embed_dedup, license_scan, mixing, ngram_join, url_filter, warc
+from quarrylog.llm import chat, decontam, embed_dedup, langid, license_scan, mixing, ngram_join, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_language_id": langid.op3_language_id,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_embedding_dedup": embed_dedup.op5_embedding_dedup,
+    "op6_chat": chat.op6_chat,
     "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
     "op9_license_scan": license_scan.op9_license_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {"op4_decontaminate": decontam.OP4_SQL, "op5_embedding_dedup": embed_dedup.OP5_SQL, "op8_mixing": mixing.OP8_SQL}

@@ -90,3 +90,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not changed:
             return label
     raise RuntimeError(f"connected components did not settle in {rounds} rounds")
+
+
+def labelled_sample(rows: DataFrame, label: str, each: int, most: int) -> DataFrame:
+    """About each rows of every label, and most rows in all at the very most, for fitting; the same rows in every run.
+
+    A row is taken if a hash of its doc_id falls under its label's share, which comes from a count of the label's rows.
+    """
+    counts = rows.groupBy(label).agg(F.count("*").alias("_of"))
+    at = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    return rows.join(small(stash(counts, "label-counts"), 10_000), label).where(at < F.lit(float(each)) / F.col("_of")).drop("_of").limit(most)
