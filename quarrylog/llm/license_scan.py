@@ -45,11 +45,11 @@ TEMPLATES = (
 COMMON = "a and are be by for from in into is of on or terms that the this to under use used version v with without work 0 1 2 3 4".split()
 
 
-def starts(words: Column, text: Column, phrase: str) -> Column:
-    """The places, from 0, where the phrase's words stand consecutively. Texts without its longest word are not searched."""
+def starts(words: Column, phrase: str) -> Column:
+    """The places, from 0, where the phrase's words stand consecutively."""
     own = phrase.split()
     spot = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - len(own), F.lit(0))), lambda i: reduce(lambda a, b: a & b, (F.get(words, i + k) == w for k, w in enumerate(own)))), lambda i: i.cast("long"))
-    return F.when(text.contains(max(own, key=len)) & (F.size(words) >= len(own)), spot).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= len(own), spot).otherwise(F.array().cast("array<bigint>"))
 
 
 def vocabulary(templates: tuple) -> list[tuple[str, str, int]]:
@@ -64,11 +64,19 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict[str, str] = B
     """
     spark = docs.sparkSession
     key = F.xxhash64(F.coalesce(F.md5("text"), F.lit("")), "doc_id")
-    rows = docs.select("doc_id", key.alias("key"), alnum_words(F.col("text")).alias("words"), F.lower("text").alias("low"))
     terms = spark.createDataFrame(vocabulary(templates), "word string, label string, place int")
-    known = F.broadcast(terms.select("word").distinct())  # as many rows as the templates, a parameter, have words
-    spots = stash(rows.select("key", F.posexplode("words").alias("at", "word")).join(known, "word").select("key", "at", "word").distinct(), "licence-words")
-    texts = docs.count()
+    # a text without any of these words holds neither phrases nor postings: one pass over its words tells
+    known = sorted({w for w, _, _ in vocabulary(templates)} | {w for p in (*base, *(p for _, ps, _ in templates for p in ps)) for w in p.split() if w not in COMMON})
+    words = F.transform(F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(known)), lambda x: x)
+    marked = lambda p, label: F.transform(starts(F.col("words"), p), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
+    marks = F.array_sort(F.concat(*[marked(p, label) for p, label in base.items()]))
+    phrases = sorted({p for _, ps, _ in templates for p in ps})
+    joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    held_phrases = F.filter(F.array(*[F.when(F.col("joined").contains(f" {p} "), F.lit(p)) for p in phrases]), lambda p: p.isNotNull())
+    rows = docs.select("doc_id", key.alias("key"), alnum_words(F.col("text")).alias("words")).withColumn("any", F.arrays_overlap("words", F.array(*map(F.lit, known)))).withColumn("joined", F.when(F.col("any"), joined))
+    rows = stash(rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.when(F.col("any"), marks).alias("base"), F.when(F.col("any"), held_phrases).alias("phrases"), F.when(F.col("any"), words).alias("spots")), "licence-words")
+    spots = rows.where("spots is not null").dropDuplicates(["key"]).select("key", F.explode("spots").alias("s")).select("key", "s.at", "s.word")
+    texts = rows.count()
     held = spots.select("key", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
     weighed = stash(terms.join(F.broadcast(held), "word", "left").withColumn("idf", F.log((F.lit(texts) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1), "licence-idf")
     each = weighed.withColumn("whole", F.sum("idf").over(Window.partitionBy("label"))).withColumn("rarer", F.coalesce(F.sum("idf").over(Window.partitionBy("label").orderBy(F.desc("idf"), "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
@@ -78,12 +86,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict[str, str] = B
     lined = spots.join(index, "word").select("key", "label", shift, "place", "idf", "whole").join(rare, ["key", "label", "shift"], "left_semi").distinct()
     best = lined.groupBy("key", "label", "shift").agg((F.sum("idf") / F.max("whole")).alias("score")).groupBy("key", "label").agg(F.max("score").alias("score"))
     found = best.where(F.col("score") >= least_score).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("label", F.least("score", F.lit(1.0)).alias("score")))).alias("lined"))
-    marked = lambda p, label: F.transform(starts(F.col("words"), F.col("low"), p), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
-    marks = F.array_sort(F.concat(*[marked(p, label) for p, label in base.items()]))
-    phrases = sorted({p for _, ps, _ in templates for p in ps})
-    joined = F.when(F.col("low").rlike(r"licen[cs]e|cc|gpl|bsd|unencumbered|redistribution|commons"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
-    held_phrases = F.filter(F.array(*[F.when(joined.contains(f" {p} "), F.lit(p)) for p in phrases]), lambda p: p.isNotNull())
-    out = rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.coalesce(marks, F.array().cast("array<struct<start:bigint,label:string>>")).alias("base"), F.coalesce(held_phrases, F.array().cast("array<string>")).alias("phrases")).join(found, "key", "left")
+    out = rows.select("doc_id", "key", "n_words", F.coalesce("base", F.array().cast("array<struct<start:bigint,label:string>>")).alias("base"), F.coalesce("phrases", F.array().cast("array<string>")).alias("phrases")).join(found, "key", "left")
     must = F.create_map(*[x for label, ps, _ in templates for x in (F.lit(label), F.array(*map(F.lit, ps)))])
     sure = F.filter(F.coalesce("lined", F.array().cast("array<struct<label:string,score:double>>")), lambda x: F.arrays_overlap(F.element_at(must, x["label"]), F.col("phrases")))
     return out.select("doc_id", "n_words", "base", sure.alias("found")).withColumn("score", F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0)))
