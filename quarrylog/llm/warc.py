@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylog.llm.shared import scratch, stash
+from quarrylog.llm.shared import scratch, small, stash
 
 MANIFEST = "part string, shard int, temporary string, file string, n_records long, n_bytes long, sha256 string"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, shard_file string, intact boolean"
@@ -47,12 +47,13 @@ def duplicates(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """pages -> page_id, url, payload, payload_bytes, sha1, record_type, refers_to.
 
     Of equal payloads of at least least_bytes, the smallest page_id is the response. The minimum is taken for
-    each digest before anything is shuffled; the join back is one that Spark can split where a digest is hot.
+    each digest before anything is shuffled. Only digests that repeat are joined back: by broadcast, so that payloads stay where
+    they are, or if there are too many, by a join that Spark can split where a digest is hot.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("response"), F.count("*").alias("n"))
-    copied = first.where("n > 1 and response is not null").select("sha1", "response")
+    copied = small(stash(first.where("n > 1 and response is not null").select("sha1", "response"), "copied"), 200_000)
     rows = rows.join(copied, "sha1", "left")
     revisit = F.coalesce((F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("response")) & F.col("response").isNotNull(), F.lit(False))
     return rows.select("page_id", "url", "payload", "payload_bytes", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
