@@ -38,7 +38,7 @@ WIDTH = 5
 #: Share of the hash space that step 2's fragment holds.
 SHARE = 0.3
 #: N-grams that one task of a fragment holds, about.
-PART = 3_000_000
+PART = 2_000_000
 #: Ranges of frequency, by doubling, that the global order is cut into.
 FRAGMENTS = 6
 
@@ -150,22 +150,22 @@ def segments(table: pa.Table) -> pa.Table:
     return pa.table({"sid": pa.array(own, pa.int64()), "grams": pa.ListArray.from_arrays(ends, pa.array(grams, pa.int64())), "counts": pa.ListArray.from_arrays(ends, pa.array(count, pa.int64()))})
 
 
-def parts_for(spark, grams: int) -> int:
-    return max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams // PART))
+def parts_for(grams: int) -> int:
+    """Parts follow the n-grams alone: each adds a row to every set that has n-grams in it."""
+    return max(16, -(-grams // PART))
 
 
 def candidates(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs and their stashed set table -> indexed classes (sid, n, toks: count and gram, rarest first, take: how many of them index it), classes (sid, rep, n, low)."""
-    spark = docs.sparkSession
     classes = stash(sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low")), "classes")
     totals = classes.agg(F.sum("n").alias("n"), F.sum("low").alias("low")).first()
-    low = dealt(docs, parts_for(spark, totals["low"] or 0), True).groupBy("part").applyInArrow(shared_counts, "sid long, shared long")
+    low = dealt(docs, parts_for(totals["low"] or 0), True).groupBy("part").applyInArrow(shared_counts, "sid long, shared long")
     shared = low.groupBy("sid").agg(F.sum("shared").alias("shared"))
     left = classes.join(shared, "sid", "left").where("rep is not null and coalesce(shared, 0) >= low - floor(n / 5)").select("sid", "rep", "n")
     left = stash(left, "left-classes")
     grams = left.agg(F.sum("n")).first()[0] or 0
     reps = small(left.select(F.col("rep").alias("doc_id")).distinct(), 1_000_000)
-    own = dealt(docs.join(reps, "doc_id", "left_semi"), parts_for(spark, grams), False).groupBy("part").applyInArrow(segments, "sid long, grams array<long>, counts array<long>")
+    own = dealt(docs.join(reps, "doc_id", "left_semi"), parts_for(grams), False).groupBy("part").applyInArrow(segments, "sid long, grams array<long>, counts array<long>")
     toks = own.groupBy("sid").agg(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("counts", "grams")))).alias("toks"))
     indexed = left.select("sid", "n").join(toks, "sid").withColumn("take", (F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("toks"))).cast("int")).where("take > 0")
     return stash(indexed, "indexed"), classes
