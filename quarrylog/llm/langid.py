@@ -6,7 +6,8 @@ by their bytes. The network, some 100 kB, goes to the executors with the task.
 
 Nulls, ties, empty inputs: null texts and texts without a letter are "und" with score 0; of equal probabilities the first
 language in order wins; rows that repeat are judged alike; a null doc_id is neither learned from nor held out; without any
-labelled row all texts are "und"; an empty table gives an empty result. Other columns are ignored.
+labelled row all texts are "und"; an empty table gives an empty result. Other columns are kept as they are, but lang_pred and score
+are replaced.
 """
 
 from __future__ import annotations
@@ -134,6 +135,7 @@ def train(docs: DataFrame, each: int = 400, most: int = 8000, windows_each: int
 
 def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
     """docs -> all their columns with lang_pred and score."""
+    docs = docs.drop(*("lang_pred", "score"))
     names = docs.columns
     bounded_batches(docs.sparkSession)
     rows = docs.select("*", F.col("text").alias("_seen"))

@@ -52,7 +52,7 @@ def targets(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most_repeat
 def schedule(shares: DataFrame, slots: int) -> DataFrame:
     """shares (src, target) -> slot, src, rank: the slots in order, each with its source and its rank among the source's slots."""
     spark = shares.sparkSession
-    total = F.sum("target").over(Window.partitionBy())
+    total = F.nullif(F.sum("target").over(Window.partitionBy()), F.lit(0.0))
     upto = F.sum("target").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
     ends = shares.select("src", F.round((upto - F.col("target")) / total * POINTS).cast("long").alias("low"), F.round(upto / total * POINTS).cast("long").alias("high")).where("high > low")
     width = POINTS // BINS
