@@ -9,7 +9,8 @@ tokens whose marginal is 0.5 or more.
 
 Nulls, ties, empty inputs: null and wordless texts get the score of a text without toxic tokens and no spans; rows that
 repeat are judged alike; null doc_ids and labels are not learned from; without labels of both kinds all
-scores are 0; an empty table gives an empty result. Other columns are kept as they are.
+scores are 0; an empty table gives an empty result. Other columns are kept as they are,
+but score and spans are replaced.
 """
 
 from __future__ import annotations
@@ -96,43 +97,54 @@ def document_features(m: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(lengths)), np.clip(top, -12, 12) / 4, np.log1p(sums)], 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, each: int = 2000, longest: int = 20_000, most_features: int = 20_000) -> Field | None:
+def train(docs: DataFrame, labels: DataFrame, each: int = 1200, longest: int = 20_000, most_features: int = 20_000) -> Field | None:
     """docs (doc_id, text) and labels (doc_id, toxic) that it may learn from: about each documents of either label, of longest characters at most."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(marks, "doc_id")
-    rows = labelled_sample(rows, "toxic", each, 3 * each).orderBy("doc_id", "text").collect()
+    drawn = F.broadcast(labelled_sample(marks, "toxic", each, 3 * each))  # labels are drawn, then their texts are read: no text is moved but these
+    rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(drawn, "doc_id").orderBy("doc_id", "text").collect()
     texts, y = [words_of(r["text"]) for r in rows], np.array([r["toxic"] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return None
     return fit(texts, y, most_features)
 
 
-def fit(texts: list[list[bytes]], y: np.ndarray, most_features: int, rounds: int = 40, piece: int = 256, most_tokens: int = 800_000, prior: float = 0.2) -> Field:
-    known = {w: features(w) for t in texts for w in t}
-    # a word counts once for each pair of neighbours it stands between, so that copies of a text don't add up
-    seen: dict[int, set[tuple]] = {0: set(), 1: set()}
-    for words, toxic in zip(texts, y, strict=True):
-        seen[int(toxic)].update(zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True))
-    held = {k: Counter() for k in seen}
-    for k, places in seen.items():
-        for w, n in Counter(w for _, w, _ in places).items():
-            for f in known[w]:
-                held[k][f] += n
-    n1, n0 = len(seen[1]), len(seen[0])
-    odds = {f: np.log((c + 0.5) / (n1 + 1)) - np.log((held[0][f] + 0.5) / (n0 + 1)) for f, c in held[1].items() if c >= 5}
+def fit(texts: list[list[bytes]], y: np.ndarray, most_features: int, rounds: int = 40, piece: int = 256, most_tokens: int = 800_000, prior: float = 0.2, least_share: float = 0.03) -> Field:
+    """Memory is a few arrays of all tokens: words are numbers here, and features belong to the distinct words."""
+    ids: dict[bytes, int] = {b"": 0}
+    whole = np.array([len(t) for t in texts], np.int64)
+    flat = np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in t), np.int64, whole.sum())
+    toxic = np.repeat(y, whole) == 1
+    known = [features(w) for w in ids]
+    starts, ends = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    full = whole[whole > 0]
+    starts[np.cumsum(full) - full], ends[np.cumsum(full) - 1] = True, True
+    before, after = np.where(starts, 0, np.roll(flat, 1)), np.where(ends, 0, np.roll(flat, -1))
+    # a word counts once for each text and for each pair of neighbours, whichever are fewer: neither a text that repeats a
+    # word nor copies of a text add up
+    n, owner = len(ids), np.repeat(np.arange(len(whole)), whole)
+    held = [Counter(), Counter()]
+    for own, h in zip((~toxic, toxic), held, strict=True):
+        places = np.unique((before[own] * n + flat[own]) * n + after[own]) // n % n
+        holders = np.unique(owner[own] * n + flat[own]) % n
+        c = np.minimum(np.bincount(places, minlength=n), np.bincount(holders, minlength=n))
+        for i in np.flatnonzero(c):
+            for f in known[i]:
+                h[f] += int(c[i])
+    n1, n0 = y.sum(), len(y) - y.sum()
+    least = max(5, least_share * n1)
+    odds = {f: np.log((c + 0.5) / (n1 + 1)) - np.log((held[0][f] + 0.5) / (n0 + 1)) for f, c in held[1].items() if c >= least}
+    # what the odds are at least, as far as chance goes: by two deviations fewer toxic texts and three clean ones more
+    surely = {f: np.log((c - 2 * np.sqrt(c) + 0.5) / (n1 + 1)) - np.log((held[0][f] + 3) / (n0 + 1)) for f in odds if (c := held[1][f])}
     chosen = sorted((f for f in odds if abs(odds[f]) >= 0.7), key=lambda f: (-abs(odds[f]) * np.sqrt(held[1][f]), f))[:most_features]
     index = {f: i + 1 for i, f in enumerate(chosen)}
-    sure = {w for w, fs in known.items() if max((odds.get(f, 0.0) for f in fs), default=0.0) >= 2.5}
-    every = -(-sum(map(len, texts)) // most_tokens)
-    whole_texts, whole_y = texts, y
-    texts, y = texts[::every], y[::every]
-    slots = max(map(len, known.values()), default=1)
-    rows = {w: np.array(([index.get(f, 0) for f in fs] + [0] * slots)[:slots], np.int32) for w, fs in known.items()}
-    flat = [w for t in texts for w in t]
-    x = np.stack([rows[w] for w in flat]) if flat else np.zeros((0, slots), np.int32)
-    z = np.concatenate([np.array([toxic and w in sure for w in t], float) for t, toxic in zip(texts, y, strict=True)]) if flat else np.empty(0)
-    # for fitting, texts are cut into pieces; each piece is a sequence
-    lengths = np.array([min(piece, len(t) - i) for t in texts for i in range(0, len(t), piece)], np.int64)
+    slots = max(map(len, known))
+    table = np.array([([index.get(f, 0) for f in fs] + [0] * slots)[:slots] for fs in known], np.int32)
+    sure = np.array([max((surely.get(f, 0.0) for f in fs), default=0.0) >= 1.5 for fs in known])
+    # the weights are fitted on every so many of the texts, cut into pieces; each piece is a sequence
+    fitted = np.arange(len(texts)) % -(-len(flat) // most_tokens) == 0
+    own = np.repeat(fitted, whole)
+    x, z = table[flat[own]], (toxic & sure[flat])[own].astype(float)
+    lengths = np.array([min(piece, k - i) for k in whole[fitted].tolist() for i in range(0, k, piece)], np.int64)
     first = np.zeros(len(z), bool)
     first[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int) if len(lengths) else []] = True
     weights, bias, steps = np.zeros(len(chosen) + 1), -3.0, np.zeros((2, 2))
@@ -153,9 +165,7 @@ def fit(texts: list[list[bytes]], y: np.ndarray, most_features: int, rounds: int
         gs = stood - joint - 0.05 * steps
         squares, sb, ss = squares + grad**2, sb + gap.sum() ** 2, ss + gs**2
         weights, bias, steps = weights + 0.6 * grad / np.sqrt(squares), bias + 0.6 * gap.sum() / np.sqrt(sb), steps + 0.3 * gs / np.sqrt(ss)
-    score = {w: bias + weights[r[r > 0]].sum() for w, r in rows.items()}
-    e = np.array([score[w] for t in whole_texts for w in t])
-    y, whole = whole_y, np.array([len(t) for t in whole_texts], np.int64)
+    e = (bias + weights[table].sum(1))[flat]
     d = document_features(marginals(e, whole, steps), whole)
     c = np.zeros(3)
     balance = np.where(y == 1, prior / y.sum(), (1 - prior) / (1 - y).sum())
@@ -199,6 +209,7 @@ def spans_of(text: str, m: np.ndarray) -> list[dict]:
 
 def tag(docs: DataFrame, field: Field | None) -> DataFrame:
     """docs -> all their columns with score and spans (start, end, probability) of offending words."""
+    docs = docs.drop(*("score", "spans"))
     names = docs.columns
     bounded_batches(docs.sparkSession)
     kinds = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
