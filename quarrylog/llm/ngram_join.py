@@ -289,3 +289,14 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+p as materialized (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, p.b from r join p on p.a = r.b)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by 1) m using (doc_id)
+"""

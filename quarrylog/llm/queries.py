@@ -16,4 +16,4 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-SQL = {"op4_decontaminate": decontam.OP4_SQL, "op5_embedding_dedup": embed_dedup.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
+SQL = {"op1_ngram_join": ngram_join.OP1_SQL, "op4_decontaminate": decontam.OP4_SQL, "op5_embedding_dedup": embed_dedup.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
