@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,17 +96,34 @@ def rate_flags(requests: DataFrame, limit: int, seconds: int, *keys: str) -> Dat
 
 
 def first_in_window(alerts: DataFrame, seconds: int, *keys: str) -> DataFrame:
-    """Each alert's number within its window, which opens at the first alert outside the one before and isn't prolonged.
+    """Each window with its number of alerts: it opens at the first alert outside the one before and isn't prolonged.
 
-    What opens a window depends on where the last one opened, so a key's times are walked through in order. Times are first
-    counted per second and key, so a task gets one row for a second, not one for an alert.
+    What opens a window depends on where the last one opened, so times are walked through in order. They are counted per second
+    first, and cut where a gap as long as a window lies before an alert, as that alert opens a window whatever came earlier: a task
+    walks one stretch without such a gap, from window to window.
     """
     second = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
-    times = alerts.withColumn("second", second).groupBy(*keys, "second").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("second", "n"))).alias("times"))
-    empty = F.array().cast("array<struct<second:bigint,opened:bigint,n:bigint>>")
-    opened = F.aggregate("times", empty, lambda acc, t: F.concat(acc, F.array(F.struct(t["second"].alias("second"), F.when((F.size(acc) > 0) & (t["second"] < F.element_at(acc, -1)["opened"] + seconds), F.element_at(acc, -1)["opened"]).otherwise(t["second"]).alias("opened"), t["n"].alias("n")))))
-    each = times.select(*keys, F.explode(opened).alias("w"))
-    return each.groupBy(*keys, F.timestamp_seconds("w.opened").cast("timestamp_ntz").alias("opened")).agg(F.sum("w.n").alias("alerts"))
+    times = alerts.withColumn("second", second).groupBy(*keys, "second").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*keys).orderBy("second")
+    cut = F.coalesce(F.col("second") - F.lag("second").over(order) >= seconds, F.lit(True)).cast("int")
+    stretches = times.withColumn("cut", cut).withColumn("stretch", F.sum("cut").over(order)).drop("cut")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("second")
+        at, sums = pdf["second"].to_numpy(), np.concatenate([[0], np.cumsum(pdf["n"].to_numpy())])
+        rows, i = [], 0
+        while i < len(at):
+            end = int(np.searchsorted(at, at[i] + seconds))
+            rows.append((at[i], sums[end] - sums[i]))
+            i = end
+        out = pd.DataFrame(rows, columns=["opened", "alerts"])
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "opened", "alerts"]]
+
+    kinds = "".join(f"{k} {alerts.schema[k].dataType.simpleString()}, " for k in keys)
+    found = stretches.groupBy(*keys, "stretch").applyInPandas(walk, f"{kinds}opened long, alerts long")
+    return found.withColumn("opened", F.timestamp_seconds("opened").cast("timestamp_ntz"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -101,6 +101,11 @@ def rate_limit_flags(spark, sf_dir):
     return S.rate_flags(logs(spark, sf_dir).select("log_id", "service", "ts"), 3, 3600, "service").drop("ts")
 
 
-@query("alert_first_in_window")
+@query(
+    "alert_first_in_window",
+    f"""with recursive {LOGS}, t as (select service, floor(epoch(ts))::bigint as s, count(*) as n from logs where level = 'ERROR' group by 1, 2),
+    w as (select service, min(s) as opened from t group by 1 union all select w.service, min(t.s) as opened from w join t on t.service = w.service and t.s >= w.opened + 3600 group by w.service, w.opened)
+    select w.service, make_timestamp(w.opened * 1000000) as opened, sum(t.n)::bigint as alerts from w join t on t.service = w.service and t.s >= w.opened and t.s < w.opened + 3600 group by 1, 2""",
+)
 def alert_first_in_window(spark, sf_dir):
     return S.first_in_window(logs(spark, sf_dir).where("level = 'ERROR'").select("ts", "service"), 3600, "service")
