@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +21,29 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(queries: DataFrame, library: DataFrame, k: int, least: float = -1.0, on: Column | None = None) -> DataFrame:
-    """queries (query_id, q) and library (vec_id, v) -> query_id, vec_id, score, place: exact, ties by vec_id.
+def settled(df: DataFrame) -> DataFrame:
+    """df computed now: in spark.checkpoint.dir, or with the executors where that is unset."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
-    A stated set of queries against all of the library: the queries, at most MOST_QUERIES, are broadcast, so the library is
-    read once and isn't moved. Each task keeps k for a query before the shuffle by Spark's group limit under the rank.
-    """
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: ask in blocks")
+
+def nearest(queries: DataFrame, library: DataFrame, k: int, least: float, on: Column | None) -> DataFrame:
+    """knn of queries that are few enough for a broadcast. Each task keeps k for a query before the shuffle by Spark's group limit under the rank."""
     scored = library.withColumn("u", unit(F.col("v"))).join(F.broadcast(queries.withColumn("uq", unit(F.col("q")))), on if on is not None else F.lit(True))
     scored = scored.withColumn("score", dot(F.col("u"), F.col("uq"))).where(F.col("score") >= least)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.select("query_id", "vec_id", F.round("score", 6).alias("score"), place.alias("place")).where(F.col("place") <= k)
+
+
+def knn(queries: DataFrame, library: DataFrame, k: int, least: float = -1.0, on: Column | None = None) -> DataFrame:
+    """queries (query_id, q) and library (vec_id, v) -> query_id, vec_id, score, place: exact, ties by vec_id.
+
+    Up to MOST_QUERIES queries are broadcast, so the library is read once and isn't moved. More are split by a hash of their ids
+    into blocks, three quarters of that on average, which are asked one after another: one broadcast at a time, each against all of
+    the library. A query is in one block only, so the blocks' rows together are the result.
+    """
+    n = queries.count()
+    if n <= MOST_QUERIES:
+        return nearest(queries, library, k, least, on)
+    blocks = -(-4 * n // (3 * MOST_QUERIES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.union, [settled(nearest(queries.where(block == i), library, k, least, on)) for i in range(blocks)])

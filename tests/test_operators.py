@@ -1,11 +1,12 @@
 import datetime
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrylog.operators import dedup, sampling, timeseries
+from quarrylog.operators import dedup, sampling, timeseries, tools, vector
 from quarrylog.streaming import stateful
 
 START = datetime.datetime(2024, 1, 1)
@@ -111,3 +112,16 @@ def test_streams(spark, tmp_path):
     assert sorted(r["count"] for r in got["counts"]) == [1, 3]
     run("alerts", stateful.alert_windows(stream()))
     assert (int(START.replace(tzinfo=datetime.timezone.utc).timestamp()), 3) in [(r["opened"], r["alerts"]) for r in got["alerts"]]
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)] if i % 9 else [1.0, 0.0, 0.0, 0.0], i % 3) for i in range(90)]
+    library = spark.createDataFrame(rows, "vec_id long, v array<float>, label int")
+    queries = library.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("ql"))
+    asked = lambda: sorted(map(tuple, vector.knn(queries, library, 3, 0.1, (F.col("vec_id") != F.col("query_id")) & (F.col("label") == F.col("ql"))).collect()))
+    similar = lambda: sorted(map(tuple, tools.similar_incidents(queries.select("query_id", "q"), library.select("vec_id", "v")).collect()))
+    whole, incidents = asked(), similar()
+    monkeypatch.setattr(vector, "MOST_QUERIES", 16)
+    assert asked() == whole and len({r[0] for r in whole}) > 16
+    assert similar() == incidents and len(incidents) == 3 * 45
