@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrylog.functions import text as X
 from quarrylog.functions import values as V
 from quarrylog.operators import dedup as U
-from quarrylog.operators import sampling, vector
+from quarrylog.operators import prefixes, sampling, vector
 from quarrylog.operators import search as Q
 from quarrylog.plans.registry import LOGS, query
 from quarrylog.sources import tables as T
@@ -178,12 +178,9 @@ def semantic_dedup_hit(spark, sf_dir):
 
 @query("ignored_issue_match", "select doc_id, item_id from documents d join benchmark b on contains(d.text, substr(b.text, 1, 80)) or contains(b.text, substr(d.text, 1, 80)) where length(b.text) >= 80 and length(d.text) >= 80")
 def ignored_issue_match(spark, sf_dir):
-    """Documents and known texts of which one holds the first 80 characters of the other. The known texts are few and are broadcast if they are."""
-    d = T.table(spark, sf_dir, "documents").where(F.char_length("text") >= 80).select("doc_id", "text")
-    b = T.table(spark, sf_dir, "benchmark").where(F.char_length("text") >= 80).select("item_id", F.col("text").alias("known"))
-    if b.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 known issues: match them in blocks")
-    return d.join(F.broadcast(b), F.col("text").contains(F.substring("known", 1, 80)) | F.col("known").contains(F.substring("text", 1, 80))).select("doc_id", "item_id")
+    """Documents and known texts of which one holds the first 80 characters of the other."""
+    known = T.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return prefixes.matches(T.table(spark, sf_dir, "documents").select("doc_id", "text"), known)
 
 
 @query("signals_upsert", "with s as (select event_type || user_id % 20 as signal, ts, (value > 50)::int * 0.2 + 0.6 as confidence from events), o as (select signal, max(confidence) as confidence, count(*) as hits, min(ts) as first_seen, max(ts) as last_seen from s group by 1) select md5(signal) as id, signal, round(confidence, 4)::double as confidence, hits, first_seen, last_seen from o".replace("user_id % 20", "(user_id % 20)"))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrylog.operators import dedup, sampling, timeseries, tools, vector
+from quarrylog.operators import dedup, prefixes, sampling, timeseries, tools, vector
 from quarrylog.streaming import stateful
 
 START = datetime.datetime(2024, 1, 1)
@@ -125,3 +125,22 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(vector, "MOST_QUERIES", 16)
     assert asked() == whole and len({r[0] for r in whole}) > 16
     assert similar() == incidents and len(incidents) == 3 * 45
+
+
+def test_prefixes_of_many_known_texts(spark):
+    """More known texts than were taken before, repeated rows, non-ASCII texts, runs of one character and both directions, against a search through all."""
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("abcdé 漢😀\n"), n))
+    known = [text(90) for _ in range(60)] + ["x" * 200, "y" * 79, None, " " * 80]
+    docs = [text(50) + k[:80] + text(5) for k in known[:20]] + [known[5], known[5], "x" * 80, "x" * 79, " " * 300, None, "", text(3000) + known[30] + text(3000), known[31][:79] + "!", known[32][3:] + text(9)]
+    known += [text(7) + d[:80] for d in docs[:9]] + [known[3], known[3]]
+    d = spark.createDataFrame([(i % 25, t) for i, t in enumerate(docs)], "doc_id int, text string")
+    b = spark.createDataFrame(list(enumerate(known)), "item_id int, text string")
+    fine = lambda t: t is not None and len(t) >= 80
+    want = sorted((i % 25, j) for i, s in enumerate(docs) for j, t in enumerate(known) if fine(s) and fine(t) and (t[:80] in s or s[:80] in t))
+    assert sorted(map(tuple, prefixes.matches(d, b).collect())) == want and len(want) > 30
+    others = spark.range(10_100).select((F.col("id") + 1000).cast("int").alias("item_id"), F.concat(F.lit("#"), F.sha2(F.col("id").cast("string"), 512)).alias("text"))
+    assert sorted(map(tuple, prefixes.matches(d, b.union(others)).collect())) == want
+    long, factors = text(70_000), [prefixes.powers(f) for f in (prefixes.FACTOR, pow(prefixes.FACTOR, -1, 1 << 64))]
+    whole = set(prefixes.anchors(long, *factors).tolist())
+    assert all(set(prefixes.anchors(long[i : i + 80], *factors).tolist()) < whole for i in range(65_400, 65_700))
