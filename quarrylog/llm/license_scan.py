@@ -1,7 +1,7 @@
 """License scans: a positional index of rare licence words, verified by mandatory key phrases.
 
 The words of the licence templates form a vocabulary; how many texts hold each gives its IDF over the whole table. Each
-template is posted under its words of high IDF with their positions. A file looks up the rare words it holds;
+template, of which a label may have several, is posted under its words of high IDF with their positions. A file looks up the rare words it holds;
 postings that agree in relative position (place in the file less place in the template) add up their IDF, and the best
 offset's share of the template's whole weight is its score. A template is reported if the score reaches a limit and one of
 its key phrases stands in the text, consecutively. Base phrases are found in the same words, consecutively.
@@ -23,7 +23,11 @@ from quarrylog.llm.shared import alnum_words, stash
 #: Phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, mandatory key phrases (one of them must stand in the text), notice as templates of this scan.
+GPL = "is free software you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation either version"
+FSF = "gnu general public license as published by the free software foundation "
+ISC = "permission to use copy modify {} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+#: Label, mandatory key phrases (one of them must stand in the text), notice as templates of this scan. A label may
+#: have several: one-line notices, and the standard headers and permission texts, which need no title.
 TEMPLATES = (
     ("apache-2.0", ("apache license version 2 0",), "licensed under the apache license version 2 0"),
     ("gpl-2.0", ("gnu general public license version 2", "gnu gpl version 2"), "this work is licensed under the gnu general public license version 2"),
@@ -40,9 +44,19 @@ TEMPLATES = (
     ("cc0", ("cc0 1 0", "cc0"), "dedicated to the public domain under cc0 1 0"),
     ("isc", ("isc license",), "released under the isc license"),
     ("unlicense", ("the unlicense", "free and unencumbered software"), "this is free and unencumbered software released into the public domain"),
+    ("gpl-2.0", (FSF + "either version 2", FSF + "version 2"), GPL.format("")),
+    ("gpl-3.0", (FSF + "either version 3", FSF + "version 3"), GPL.format("")),
+    ("lgpl", ("gnu lesser general public license",), GPL.format("lesser ")),
+    ("lgpl", ("gnu library general public license",), GPL.format("library ")),
+    ("agpl-3.0", ("gnu affero general public license",), GPL.format("affero ")),
+    ("apache-2.0", ("apache license version 2 0", "apache org licenses license 2 0"), "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("mit", ("permission is hereby granted free of charge to any person obtaining a copy",), "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("isc", (ISC.format("and or"),), ISC.format("and or")),
+    ("isc", (ISC.format("and"),), ISC.format("and")),
+    ("bsd", ("redistributions in binary form must reproduce the above copyright notice",), "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
 )
 #: Words of the templates that any text may hold; they are never looked up.
-COMMON = "a and are be by for from in into is of on or terms that the this to under use used version v with without work 0 1 2 3 4".split()
+COMMON = "a all and any are as at be by can do either except for from in including into is it may must not of on or other so terms that the this to under use used version v whom with without work you 0 1 2 3 4".split()
 
 
 def starts(words: Column, phrase: str) -> Column:
@@ -52,9 +66,9 @@ def starts(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(own), spot).otherwise(F.array().cast("array<bigint>"))
 
 
-def vocabulary(templates: tuple) -> list[tuple[str, str, int]]:
-    """(word, label, position) of every template word that isn't common."""
-    return [(w, label, i) for label, _, notice in templates for i, w in enumerate(notice.split()) if w not in COMMON]
+def vocabulary(templates: tuple) -> list[tuple[str, int, int]]:
+    """(word, number of the template, position) of every template word that isn't common."""
+    return [(w, t, i) for t, (_, _, notice) in enumerate(templates) for i, w in enumerate(notice.split()) if w not in COMMON]
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict[str, str] = BASE, least_score: float = 0.6, rare_share: float = 0.5) -> DataFrame:
@@ -64,7 +78,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict[str, str] = B
     """
     spark = docs.sparkSession
     key = F.xxhash64(F.coalesce(F.md5("text"), F.lit("")), "doc_id")
-    terms = spark.createDataFrame(vocabulary(templates), "word string, label string, place int")
+    terms = spark.createDataFrame(vocabulary(templates), "word string, template int, place int")
     # a text without any of these words holds neither phrases nor postings: one pass over its words tells
     known = sorted({w for w, _, _ in vocabulary(templates)} | {w for p in (*base, *(p for _, ps, _ in templates for p in ps)) for w in p.split() if w not in COMMON})
     words = F.transform(F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(known)), lambda x: x)
@@ -75,20 +89,25 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict[str, str] = B
     held_phrases = F.filter(F.array(*[F.when(F.col("joined").contains(f" {p} "), F.lit(p)) for p in phrases]), lambda p: p.isNotNull())
     rows = docs.select("doc_id", key.alias("key"), alnum_words(F.col("text")).alias("words")).withColumn("any", F.arrays_overlap("words", F.array(*map(F.lit, known)))).withColumn("joined", F.when(F.col("any"), joined))
     rows = stash(rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.when(F.col("any"), marks).alias("base"), F.when(F.col("any"), held_phrases).alias("phrases"), F.when(F.col("any"), words).alias("spots")), "licence-words")
-    spots = rows.where("spots is not null").dropDuplicates(["key"]).select("key", F.explode("spots").alias("s")).select("key", "s.at", "s.word")
+    spots = rows.where("spots is not null").dropDuplicates(["key"]).select("key", (F.size("phrases") > 0).alias("may"), F.explode("spots").alias("s")).select("key", "may", "s.at", "s.word")
     texts = rows.count()
     held = spots.select("key", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
     weighed = stash(terms.join(F.broadcast(held), "word", "left").withColumn("idf", F.log((F.lit(texts) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1), "licence-idf")
-    each = weighed.withColumn("whole", F.sum("idf").over(Window.partitionBy("label"))).withColumn("rarer", F.coalesce(F.sum("idf").over(Window.partitionBy("label").orderBy(F.desc("idf"), "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    each = weighed.withColumn("whole", F.sum("idf").over(Window.partitionBy("template"))).withColumn("rarer", F.coalesce(F.sum("idf").over(Window.partitionBy("template").orderBy(F.desc("idf"), "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     index = F.broadcast(stash(each, "licence-index"))
     shift = (F.col("at") - F.col("place")).alias("shift")
-    rare = spots.join(index.where(F.col("rarer") < F.col("whole") * rare_share), "word").select("key", "label", shift).distinct()
-    lined = spots.join(index, "word").select("key", "label", shift, "place", "idf", "whole").join(rare, ["key", "label", "shift"], "left_semi").distinct()
-    best = lined.groupBy("key", "label", "shift").agg((F.sum("idf") / F.max("whole")).alias("score")).groupBy("key", "label").agg(F.max("score").alias("score"))
-    found = best.where(F.col("score") >= least_score).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("label", F.least("score", F.lit(1.0)).alias("score")))).alias("lined"))
+    likely = spots.where("may").drop("may")  # without a key phrase nothing is reported, so only these are lined up
+    rare = likely.join(index.where(F.col("rarer") < F.col("whole") * rare_share), "word").select("key", "template", shift).distinct()
+    lined = likely.join(index, "word").select("key", "template", shift, "place", "idf", "whole").join(rare, ["key", "template", "shift"], "left_semi").distinct()
+    best = lined.groupBy("key", "template", "shift").agg((F.sum("idf") / F.max("whole")).alias("score")).groupBy("key", "template").agg(F.max("score").alias("score"))
+    found = best.where(F.col("score") >= least_score).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("template", F.least("score", F.lit(1.0)).alias("score")))).alias("lined"))
     out = rows.select("doc_id", "key", "n_words", F.coalesce("base", F.array().cast("array<struct<start:bigint,label:string>>")).alias("base"), F.coalesce("phrases", F.array().cast("array<string>")).alias("phrases")).join(found, "key", "left")
-    must = F.create_map(*[x for label, ps, _ in templates for x in (F.lit(label), F.array(*map(F.lit, ps)))])
-    sure = F.filter(F.coalesce("lined", F.array().cast("array<struct<label:string,score:double>>")), lambda x: F.arrays_overlap(F.element_at(must, x["label"]), F.col("phrases")))
+    must = F.array(*[F.array(*map(F.lit, ps)) for _, ps, _ in templates])
+    own = F.filter(F.coalesce("lined", F.array().cast("array<struct<template:int,score:double>>")), lambda x: F.arrays_overlap(F.get(must, x["template"]), F.col("phrases")))
+    named = F.transform(own, lambda x: F.struct(F.get(F.array(*[F.lit(label) for label, _, _ in templates]), x["template"]).alias("label"), x["score"].alias("score")))
+    out = out.withColumn("named", named)
+    # a label has the score of its best template
+    sure = F.transform(F.array_sort(F.array_distinct(F.transform("named", lambda x: x["label"]))), lambda label: F.struct(label.alias("label"), F.array_max(F.transform(F.filter("named", lambda x: x["label"] == label), lambda x: x["score"])).alias("score")))
     return out.select("doc_id", "n_words", "base", sure.alias("found")).withColumn("score", F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0)))
 
 

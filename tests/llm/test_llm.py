@@ -291,6 +291,20 @@ def test_license_places_against_brute_force(spark, odd):
     assert found == {1: ["gpl-3.0"], 2: []}
 
 
+def test_licenses_without_their_titles(spark):
+    """Standard headers and permission texts, wrapped and commented as in sources, in other words, and what only resembles them."""
+    gpl = "# {x} is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {k}General Public License as published by\n# the Free Software Foundation, either version {v} of the License, or\n# (at your option) any later version.\n"
+    mit = 'Copyright (c) 2020 A. Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+    isc = "Permission to use, copy, modify, and{} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    bsd = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    apache = '/* Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License. */'
+    texts = {"gpl-3.0": gpl.format(x="X", k="", v=3), "gpl-2.0": gpl.format(x="This program", k="", v=2), "lgpl": gpl.format(x="X", k="Lesser ", v=3), "agpl-3.0": gpl.format(x="X", k="Affero ", v=3), "apache-2.0": apache, "mit": mit, "isc": isc.format("/or"), "bsd": bsd}
+    rows = [*texts.items(), ("isc", isc.format("")), ("lgpl", gpl.format(x="X", k="Library ", v=2)), ("", "permission is granted to any person"), ("", mit.split()[0] + " free software of any person, hereby granted a copy")]
+    docs = spark.createDataFrame([(i, f"{'words before ' * i}{t}{' and after' * 9}") for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: [x["label"] for x in r["found"]] for r in license_scan.scan(docs).collect()}
+    assert found == {i: [label] if label else [] for i, (label, _) in enumerate(rows)}
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = SF.replace("0.001", "0.1")
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
