@@ -3,11 +3,12 @@
 Each text is a set of hashed word shingles. The n-gram space is cut into fragments; each fragment is counted on its own,
 and the partial counts are summed per set or per pair:
 
-1. Equal sets become one class (copies are never paired).
+1. Equal sets become one class (copies are never paired, and a task deals a set's n-grams once).
 2. In a fragment that holds a fixed share of the hash space, shingles that only one class holds are counted. A
    link leaves at most n / 5 shingles of either set unmatched, so a class with more unmatched ones in the fragment
-   alone links with nothing and is done.
-3. The remaining classes' n-grams get their global order, rarest first. Each class is indexed under its
+   alone links with nothing and is done. N-grams are counted within each batch of texts before they are shuffled.
+3. One row of each remaining class is dealt; its n-grams get their global order, rarest first: counts are summed for each n-gram, then
+   joined back to the sets piece by piece, so that the holders of a frequent n-gram are never in one group. Each class is indexed under its
    first n / 5 + 1 n-grams of that order; linked classes meet under one of them.
 4. Under an n-gram, classes are compared with a leader, and only the leader's pairs are made: near copies fall into one component
    after a few rounds and need no further pairs. All pairs of different components that still meet are then
@@ -17,8 +18,8 @@ and the partial counts are summed per set or per pair:
 Sets are known by 64-bit sums of mixed shingle hashes. Threshold: 100 * intersection >= 80 * union.
 
 Nulls, ties, empty inputs: null or wordless texts have empty sets, link with nothing and are their own component; texts of
-fewer than 5 words are one shingle; rows without doc_id link only with equal sets and name no component;
-rows that repeat are copies; the smallest doc_id names a component; an empty table gives an empty result. Other columns are ignored.
+fewer than 5 words are one shingle; rows without doc_id link like others but name no component (null if no row of it has a doc_id);
+rows that repeat, or share a doc_id, are judged each by its own text; the smallest doc_id names a component; an empty table gives an empty result. Other columns are ignored.
 Very long texts are taken whole.
 """
 
@@ -86,68 +87,118 @@ def low_end(s: np.ndarray) -> int:
     return int(np.searchsorted(s, np.uint64(int(SHARE * 2**64))))
 
 
+def key_of() -> F.Column:
+    """Names the rows of one doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n (set size), sid (null for empty sets), low (n-grams in step 2's fragment)."""
+    """docs (doc_id, text) -> doc_id, key, n (set size), sid (null for empty sets), low (n-grams in step 2's fragment)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             rows = [(len(s), set_id(s), low_end(s)) if len(s) else (0, None, 0) for s in (shingles(t, hashes) for t in texts_of(batch))]
             n, sid, low = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "n", "sid", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "key", "n", "sid", "low"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, n long, sid long, low long")
+    return docs.select(F.col("doc_id").cast("long"), key_of().alias("key"), "text").mapInArrow(sets, "doc_id long, key long, n long, sid long, low long")
+
 
+def packed(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each part, with its stretch of each column as an array."""
+    order = np.argsort(part, kind="stable")
+    own, at = np.unique(part[order], return_index=True)
+    ends = pa.array(np.append(at, len(part)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *[pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns.values()]], ["part", *columns])
 
-def dealt(docs: DataFrame, parts: int, only_low: bool) -> DataFrame:
-    """docs (text) -> part, sids, grams: the n-grams of each batch of texts, dealt over parts by hash, packed into arrays."""
+
+def dealt(docs: DataFrame, parts: int, tally: bool, only_low: bool = False) -> DataFrame:
+    """docs (text) -> part, sids, grams (and counts): the n-grams of each batch of texts, dealt over parts by hash and packed into arrays.
+
+    A task deals each set once, however many copies it reads. With tally, an n-gram is dealt once for each batch: with one of its sets and
+    the number of all. Where that is more than one, its sets know already that they share it: they are told by rows with
+    count -1 and, in grams, how many such n-grams a set has. So no n-gram, however frequent, brings more than a row for each batch.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
-            found = [(set_id(s), s[: low_end(s)] if only_low else s) for s in (shingles(t, hashes) for t in texts_of(batch)) if len(s)]
-            if not found:
+            found = []
+            for s in (shingles(t, hashes) for t in texts_of(batch)):
+                if len(s) and (i := set_id(s)) not in seen:
+                    seen.add(i)
+                    found.append((i, s[: low_end(s)] if only_low else s))
+            if not sum(len(s) for _, s in found):
                 continue
             grams = np.concatenate([s for _, s in found])
             sids = np.repeat(np.array([i for i, _ in found], np.int64), [len(s) for _, s in found])
-            part = (mixed(grams) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, grams, sids = part[order], grams[order].view(np.int64), sids[order]
-            own, at = np.unique(part, return_index=True)
-            ends = pa.array(np.append(at, len(part)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(ends, pa.array(sids)), pa.ListArray.from_arrays(ends, pa.array(grams))], ["part", "sids", "grams"])
-
-    return docs.select("text").mapInArrow(deal, "part long, sids array<long>, grams array<long>")
-
-
-def held(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """sid, gram, and in how many sets the gram is, of a part's n-grams that more than one set holds."""
-    sids, grams = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("sids", "grams"))
+            if not tally:
+                yield packed((mixed(grams) % np.uint64(parts)).astype(np.int64), {"sids": sids, "grams": grams.view(np.int64)})
+                continue
+            order = np.argsort(grams, kind="stable")
+            grams, sids = grams[order], sids[order]
+            at = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+            count = np.diff(np.append(at, len(grams)))
+            told, n = np.unique(sids[np.repeat(count > 1, count)], return_counts=True)
+            grams, sids = grams[at], sids[at]
+            part = np.append((mixed(grams) % np.uint64(parts)).astype(np.int64), mixed(told.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            yield packed(part, {"sids": np.append(sids, told), "grams": np.append(grams.view(np.int64), n), "counts": np.append(count, np.full(len(told), -1)).astype(np.int32)})
+
+    return docs.select("text").mapInArrow(deal, "part long, sids array<long>, grams array<long>" + (", counts array<int>" if tally else ""))
+
+
+def tallied(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """A part's dealt n-grams by gram: sids, grams, counts, where each n-gram starts, and which n-grams more than one set holds; and the rows that tell sets."""
+    sids, grams, counts = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("sids", "grams", "counts"))
+    tells = counts < 0
+    told = sids[tells], grams[tells]
+    sids, grams, counts = sids[~tells], grams[~tells], counts[~tells]
     order = np.lexsort((sids, grams))
-    sids, grams = sids[order], grams[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (sids[1:] != sids[:-1])
-    sids, grams = sids[new], grams[new]
-    starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.empty(0, np.int64)
-    count = np.diff(np.append(starts, len(grams)))
-    count = np.repeat(count, count)
-    return sids[count > 1], grams[count > 1], count[count > 1]
+    sids, grams, counts = sids[order], grams[order], counts[order]
+    at = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.empty(0, np.int64)
+    if not len(at):
+        return sids, grams, counts, at, np.empty(0, bool), told
+    several = np.maximum.reduceat(counts, at) > 1
+    several |= np.minimum.reduceat(sids, at) != np.maximum.reduceat(sids, at)
+    return sids, grams, counts, at, several, told
 
 
 def shared_counts(table: pa.Table) -> pa.Table:
-    sids, n = np.unique(held(table)[0], return_counts=True)
-    return pa.table({"sid": pa.array(sids, pa.int64()), "shared": pa.array(n, pa.int64())})
-
-
-def segments(table: pa.Table) -> pa.Table:
-    """sid, grams, counts: a set's n-grams in this part that other sets hold too."""
-    sids, grams, count = held(table)
-    order = np.argsort(sids, kind="stable")
-    sids, grams, count = sids[order], grams[order], count[order]
-    own, at = np.unique(sids, return_index=True)
+    """sid, shared: parts of the number of a set's n-grams that other sets hold too; at least that number in sum."""
+    sids, grams, counts, at, several, told = tallied(table)
+    ours = np.repeat(several, np.diff(np.append(at, len(grams)))) & (counts == 1)
+    ours[1:] &= (grams[1:] != grams[:-1]) | (sids[1:] != sids[:-1])
+    own, n = np.unique(sids[ours], return_counts=True)
+    return pa.table({"sid": pa.array(np.append(own, told[0]), pa.int64()), "shared": pa.array(np.append(n, told[1]), pa.int64())})
+
+
+def frequencies(table: pa.Table) -> pa.Table:
+    """part, grams, counts: the n-grams that more than one set holds with how often they were dealt, and splits: the pieces to cut the part's entries into."""
+    _, grams, counts, at, several, _ = tallied(table)
+    sums = np.add.reduceat(counts.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64()))
+    return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int64()), "splits": pa.array([int(-(-sums.sum() // PART))], pa.int64()), "grams": one(grams[at][several]), "counts": one(sums[several])})
+
+
+def segments(left: pa.Table, right: pa.Table) -> pa.Table:
+    """sid, grams, counts: a set's n-grams in this piece of a part that other sets hold too. right: the part's shared n-grams, in order."""
+    sids, grams = (left.column(c).combine_chunks().flatten().to_numpy() for c in ("sids", "grams"))
+    known, count = (right.column(c).combine_chunks().flatten().to_numpy() for c in ("grams", "counts"))
+    if not len(sids) or not len(known):
+        return pa.table({"sid": pa.array([], pa.int64()), "grams": pa.array([], pa.list_(pa.int64())), "counts": pa.array([], pa.list_(pa.int64()))})
+    spot = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    own = known[spot] == grams
+    sids, grams, spot = sids[own], grams[own], spot[own]
+    order = np.lexsort((grams, sids))
+    sids, grams, spot = sids[order], grams[order], spot[order]
+    new = np.ones(len(sids), bool)
+    new[1:] = (sids[1:] != sids[:-1]) | (grams[1:] != grams[:-1])
+    sids, grams, spot = sids[new], grams[new], spot[new]
+    first, at = np.unique(sids, return_index=True)
     ends = pa.array(np.append(at, len(sids)).astype(np.int32))
-    return pa.table({"sid": pa.array(own, pa.int64()), "grams": pa.ListArray.from_arrays(ends, pa.array(grams, pa.int64())), "counts": pa.ListArray.from_arrays(ends, pa.array(count, pa.int64()))})
+    return pa.table({"sid": pa.array(first, pa.int64()), "grams": pa.ListArray.from_arrays(ends, pa.array(grams, pa.int64())), "counts": pa.ListArray.from_arrays(ends, pa.array(count[spot], pa.int64()))})
 
 
 def parts_for(grams: int) -> int:
@@ -156,17 +207,23 @@ def parts_for(grams: int) -> int:
 
 
 def candidates(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs and their stashed set table -> indexed classes (sid, n, toks: count and gram, rarest first, take: how many of them index it), classes (sid, rep, n, low)."""
-    classes = stash(sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low")), "classes")
+    """docs and their stashed set table -> indexed classes (sid, n, toks: count and gram, rarest first, take: how many of them index it), classes (sid, rep, key, n, low)."""
+    classes = stash(sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("n").alias("n"), F.max("low").alias("low")), "classes")
     totals = classes.agg(F.sum("n").alias("n"), F.sum("low").alias("low")).first()
-    low = dealt(docs, parts_for(totals["low"] or 0), True).groupBy("part").applyInArrow(shared_counts, "sid long, shared long")
+    low = dealt(docs, parts_for(totals["low"] or 0), True, True).groupBy("part").applyInArrow(shared_counts, "sid long, shared long")
     shared = low.groupBy("sid").agg(F.sum("shared").alias("shared"))
-    left = classes.join(shared, "sid", "left").where("rep is not null and coalesce(shared, 0) >= low - floor(n / 5)").select("sid", "rep", "n")
+    left = classes.join(shared, "sid", "left").where("coalesce(shared, 0) >= low - floor(n / 5)").select("sid", "key", "n")
     left = stash(left, "left-classes")
-    grams = left.agg(F.sum("n")).first()[0] or 0
-    reps = small(left.select(F.col("rep").alias("doc_id")).distinct(), 1_000_000)
-    own = dealt(docs.join(reps, "doc_id", "left_semi"), parts_for(grams), False).groupBy("part").applyInArrow(segments, "sid long, grams array<long>, counts array<long>")
-    toks = own.groupBy("sid").agg(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("counts", "grams")))).alias("toks"))
+    parts = parts_for(left.agg(F.sum("n")).first()[0] or 0)
+    # one row of each class that is left
+    few = docs.withColumn("key", key_of()).join(small(left.select("key").distinct(), 1_000_000), "key", "left_semi")
+    known = stash(dealt(few, parts, True).groupBy("part").applyInArrow(frequencies, "part long, splits long, grams array<long>, counts array<long>"), "frequencies")
+    splits = small(known.select("part", "splits"), 1_000_000)
+    own = dealt(few, parts, False).join(splits, "part").withColumn("split", F.pmod(F.xxhash64("part", F.element_at("sids", 1), F.size("sids")), "splits")).select("part", "split", "sids", "grams")
+    known = known.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("split"), "grams", "counts")
+    own = own.groupBy("part", "split").cogroup(known.groupBy("part", "split")).applyInArrow(segments, "sid long, grams array<long>, counts array<long>")
+    # a set that several tasks dealt has the same segments from each; they are held once
+    toks = own.groupBy("sid").agg(F.sort_array(F.flatten(F.collect_set(F.arrays_zip("counts", "grams")))).alias("toks"))
     indexed = left.select("sid", "n").join(toks, "sid").withColumn("take", (F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("toks"))).cast("int")).where("take > 0")
     return stash(indexed, "indexed"), classes
 
@@ -260,31 +317,46 @@ def grouped(indexed: DataFrame, rounds: int = 4) -> DataFrame | None:
     return roots
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, sid, component_id: the smallest doc_id that links reach."""
+def groups_of(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, key, n, sid, root (the sid that names a row's group; null for empty sets), component_id."""
     docs = docs.select("doc_id", "text")
     sets = stash(set_table(docs), "sets")
     indexed, classes = candidates(docs, sets)
     roots = grouped(indexed)
     named = classes.select("sid", "rep")
     if roots is None:
-        named = named.withColumnRenamed("rep", "component_id")
+        named = named.select("sid", F.col("sid").alias("root"), F.col("rep").alias("component_id"))
     else:
         named = named.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = named.join(first, "root").select("sid", "component_id")
-    return sets.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), "sid", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        named = named.join(first, "root").select("sid", "root", "component_id")
+    return sets.join(named, "sid", "left").select("doc_id", "key", "n", "sid", "root", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, sid, component_id: the smallest doc_id that links reach."""
+    return groups_of(docs).select("doc_id", F.col("n").alias("n_shingles"), "sid", "component_id")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, but one for each group: that of the smallest doc_id. Rows without doc_id stay."""
-    found = stash(near_copies(docs).select("doc_id", "component_id"), "groups")
-    others = small(found.where("doc_id <> component_id").select("doc_id").distinct(), 1_000_000)
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    again = small(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), 1_000_000)
+    """The rows of docs, all columns, but one for each group: that of the smallest doc_id (rows without one come last), then set, then text.
+
+    Groups go by texts, not by doc_ids: of rows that share a doc_id, each is judged by its own text. Rows of equal doc_id and text that
+    differ elsewhere leave the first by all their columns. Texts without words are in no group: all their rows stay.
+    """
+    found = stash(groups_of(docs).where("root is not null").select("doc_id", "key", "sid", "root"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "key")
+    best = found.groupBy("root").agg(F.min(order).alias("best"))
+    rows = found.groupBy("doc_id", "key", "root").agg(F.count("*").alias("n"), F.min("sid").alias("sid")).join(best, "root").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "n", (order == F.col("best")).alias("stays"))
+    rows = stash(rows, "group-rows")
+    same = (F.col("_own") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
+    kept = docs.withColumn("_own", key_of()).join(small(rows.where("not stays").select("_doc", "_key"), 1_000_000), same, "left_anti")
+    again = small(stash(rows.where("stays and n > 1").select("_doc", "_key"), "group-repeats"), 1_000_000)
     if not again.limit(1).count():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, same, "left_semi").groupBy("doc_id", "_own").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -93,10 +93,46 @@ def test_ngram_join_on_odd_rows(spark, odd):
     assert sorted(str(r["component_id"]) for r in rows if r["doc_id"] is None) == ["1", "None"]
     kept = ngram_join.without_copies(odd)
     assert kept.columns == odd.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "4", "5", "6", "7", "9", "10", "11", "None", "None"])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "4", "5", "6", "7", "9", "10", "11", "None"])
     assert ngram_join.near_copies(empty(odd)).count() == ngram_join.without_copies(empty(odd)).count() == 0
 
 
+def test_ngram_join_goes_by_texts_not_by_ids(spark):
+    """Unlike rows that share a doc_id, rows without one that link, and repeated rows: no document and no link is lost."""
+    words = [f"w{i}" for i in range(56)]
+    a, b, c = " ".join(words), " ".join(words[5:] + ["x1"]), " ".join(words[10:] + ["x1", "x2", "x3", "x4", "x5"])
+    near = {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(spark.createDataFrame([(1, a), (None, b), (2, c)], "doc_id long, text string")).collect()}
+    assert near == {1: 1, None: 1, 2: 1}
+    alone = " ".join(f"y{i}" for i in range(30))
+    rows = [(1, b), (5, b), (5, alone), (6, a), (7, alone + " z"), (None, "q r s"), (None, "Q r s"), (8, ""), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(*r, i // 2) for i, r in enumerate(rows)], "doc_id long, text string, key int")
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.without_copies(docs).collect()), key=repr)
+    assert kept == sorted([(1, b), (5, alone), (None, "Q r s") if (None, "Q r s") in kept else (None, "q r s"), (8, ""), (8, ""), (9, None)], key=repr)
+    twins = spark.createDataFrame([(3, a, k) for k in (2, 1, 2)], "doc_id long, text string, key int")
+    assert [tuple(r) for r in ngram_join.without_copies(twins).collect()] == [(3, a, 1)]
+
+
+def test_ngram_join_deals_copies_and_common_passages_once(spark):
+    """A text that all rows repeat, and a passage that all texts share, bring a row for each batch into a part, not one for each text."""
+    long = " ".join(f"w{i}" for i in range(1000))
+    copies = spark.range(4000).select(F.lit(long).alias("text")).repartition(8)
+    dealt = ngram_join.dealt(copies, 16, True).select(F.explode("grams"))
+    assert dealt.count() <= 8 * 996
+    mixed = spark.range(4000).select(F.concat(F.lit(long + " "), F.col("id").cast("string")).alias("text")).repartition(8)
+    rows = ngram_join.dealt(mixed, 16, True).select(F.explode(F.arrays_zip("grams", "counts")).alias("x"))
+    assert rows.where("x.counts >= 0").groupBy("x.grams").count().agg(F.max("count")).first()[0] <= 8
+    # whole results: sets that share a passage in different batches still meet
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit(long + " "), F.col("id").cast("string")).alias("text")).repartition(8)
+    assert {r["component_id"] for r in ngram_join.near_copies(docs).collect()} == {0}
+
+
+def test_ngram_join_in_pieces(spark, monkeypatch):
+    """Parts cut into many pieces give the same groups."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(ngram_join, "PART", 500)
+    assert {r[0]: (r[1], r[3]) for r in ngram_join.near_copies(docs).collect()} == brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.NET/en/1", "https://example.com/de/x?q", "http://example.com/fr/", "x://y.org/fr/?a", "http://net/", "http://a.net", "//no", None, "http://notexample.net/en/1"]
     pages = spark.createDataFrame([(i, u, 1, "k") for i, u in enumerate(urls)], "page_id long, url string, host int, tokens string")
