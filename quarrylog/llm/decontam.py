@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams against the word windows of whole texts.
 
 Each item gives its windows of n words (an item of fewer words, but some, gives one window). Their hashes are
-broadcast if their number is within a checked bound, else joined by a shuffle. A text's windows are hashed in
-place, looked up, and a hit counts only if the words are equal. Hit windows are merged to hit words and spans.
+broadcast if their number is within a checked bound, else joined by a shuffle. A text's windows are hashed in one
+scan, looked up, and a hit counts only if the words are equal. Hit windows are merged to hit words and spans.
 
 Nulls, ties, empty inputs: null or wordless texts have no words and no hits; null or wordless items have no
 windows; repeated rows are judged alike, each by its own text; an item_id that repeats counts once; null item_ids are
@@ -11,63 +11,82 @@ not listed; empty tables give an empty result or no hits. Other columns are igno
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylog.llm.shared import alnum_words, small, stash
 
 
-def windows(words: Column, n: int) -> Column:
-    """The slices of n words at each start; none if there are fewer words."""
+def starts(words: Column, n: int) -> Column:
+    """The places from which n words follow; none if there are fewer."""
     last = F.size(words) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(words, i + 1, n)))
-
-
-def window_hashes(n: int) -> Column:
-    """The hash of each slice of n of the column words, which has as many at least."""
-    return F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.xxhash64(F.slice("words", i + 1, n)))
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
 def test_windows(benchmark: DataFrame, n: int) -> DataFrame:
     """item_id, n (words), words, hash of each distinct window of the items."""
     items = benchmark.select("item_id", alnum_words(F.col("text")).alias("w")).where("size(w) > 0")
-    each = items.select("item_id", F.explode(F.when(F.size("w") < n, F.array("w")).otherwise(windows(F.col("w"), n))).alias("words")).distinct()
-    return each.select("item_id", F.size("words").alias("n"), "words", F.xxhash64("words").alias("hash"))
+    each = F.transform(starts(F.col("w"), n), lambda i: F.slice("w", i + 1, n))
+    rows = items.select("item_id", F.explode(F.when(F.size("w") < n, F.array("w")).otherwise(each)).alias("words")).distinct()
+    return rows.select("item_id", F.size("words").alias("n"), "words", F.xxhash64("words").alias("hash"))
 
 
 def hits(docs: DataFrame, tests: DataFrame, n: int = 10, most_broadcast: int = 2_000_000) -> DataFrame:
-    """docs (key, words) and stashed tests -> key, at, n, hash, words of each occurrence of a test window.
+    """docs (key, words) and stashed tests -> key, at, n, hash, test of each occurrence of a test window.
 
-    The lengths of short items, n - 1 at most, are looked up first: a text is scanned once for each length there is.
+    A text is scanned once: the windows of all lengths that tests have (n, and fewer words of short items) are hashed together, and
+    only key and hash go on, so that a very long text isn't copied for each of its windows. Of the tests only the hashes are broadcast, 8 bytes
+    each; beyond most_broadcast of them the join is shuffled. The words of texts with hits are then fetched once, and a hit counts if they are equal.
     """
-    distinct = small(tests.select("n", "hash", F.col("words").alias("test")).distinct(), most_broadcast)
-    lengths = sorted(r["n"] for r in tests.select("n").distinct().collect())
-    found = None
-    for length in lengths:
-        rows = docs.where(F.size("words") >= length).select("key", "words", F.posexplode(window_hashes(length)).alias("at", "hash"))
-        own = rows.join(distinct.where(F.col("n") == length), "hash").where(F.slice("words", F.col("at") + 1, length) == F.col("test"))
-        own = own.select("key", "at", F.lit(length).alias("n"), "hash", "test")
-        found = own if found is None else found.union(own)
-    return found if found is not None else docs.select("key", F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("hash"), F.col("words").alias("test")).where("false")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, text, n_words, n_hit, n_items, items, spans (first and end word of each merged run), contaminated."""
+    known = small(tests.select("hash").distinct(), most_broadcast)
+    lengths = sorted(r["n"] for r in tests.select("n").distinct().collect()) or [n]
+    of = lambda k: F.transform(starts(F.col("words"), k), lambda i: F.xxhash64(F.slice("words", i + 1, k)))
+    hashes = [of(k) for k in lengths]
+    # the hashes are a column before they are exploded, so that the words stay behind; an outer explode, as Spark would otherwise
+    # filter by the array's size before, and cut the text into words anew for each window there
+    scanned = docs.select("key", F.size("words").alias("m"), (F.flatten(F.array(*hashes)) if len(hashes) > 1 else hashes[0]).alias("hashes"))
+    found = scanned.select("key", "m", F.posexplode_outer("hashes").alias("pos", "hash")).join(known, "hash")
+    # the windows of one length stand behind those of the shorter ones
+    before = [F.lit(0)]
+    for k in lengths:
+        before.append(before[-1] + F.greatest(F.col("m") - k + 1, F.lit(0)))
+    at, long = F.col("pos") - before[-2], F.lit(lengths[-1])
+    for i in reversed(range(len(lengths) - 1)):
+        inside = F.col("pos") < before[i + 1]
+        at, long = F.when(inside, F.col("pos") - before[i]).otherwise(at), F.when(inside, F.lit(lengths[i])).otherwise(long)
+    found = stash(found.select("key", at.alias("at"), long.alias("n"), "hash").distinct(), "window-hits")
+    spots = found.groupBy("key").agg(F.collect_list(F.struct("at", "n", "hash")).alias("spots"))
+    if found.limit(most_broadcast + 1).count() <= most_broadcast:
+        spots = F.broadcast(spots)
+    own = F.transform("spots", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["hash"].alias("hash"), F.slice("words", s["at"] + 1, s["n"]).alias("own")))
+    there = docs.join(spots, "key").select("key", own.alias("own")).select("key", F.explode_outer("own").alias("s")).select("key", "s.*").distinct()
+    texts = tests.select("n", "hash", F.col("words").alias("test")).distinct()
+    return there.join(small(texts, 200_000), ["n", "hash"]).where("own = test").select("key", "at", "n", "hash", "test")
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """found (key, at, n) -> key, spans, n_hit: the runs that overlapping or touching windows make, by a running maximum over sorted starts."""
+    order = Window.partitionBy("key").orderBy("at", "end")
+    runs = found.select("key", "at", (F.col("at") + F.col("n")).alias("end")).distinct()
+    runs = runs.withColumn("upto", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("run", F.sum(F.when(F.col("at") <= F.col("upto"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("key", "run").agg(F.min("at").alias("at"), F.max("end").alias("end"))
+    return runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "end"))).alias("spans"), F.sum(F.col("end") - F.col("at")).cast("long").alias("n_hit"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_broadcast: int = 2_000_000) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, key, n_words, n_hit, items, spans (first and end word of each merged run)."""
     key = F.xxhash64(F.coalesce(F.md5("text"), F.lit("")), "doc_id")
     # a text goes with its row here only to be cut into words; what is shuffled are keys, counts and hits
     rows = docs.select("doc_id", key.alias("key"), alnum_words(F.col("text")).alias("words"))
     tests = stash(test_windows(benchmark, n), "test-windows")
-    found = stash(hits(rows, tests, n).select("key", "at", "n", "hash", "test").distinct(), "hits")
+    found = stash(hits(rows, tests, n, most_broadcast), "hits")
     listed = found.select("key", "n", "hash", "test").distinct().join(tests.select("n", "hash", F.col("words").alias("test"), "item_id"), ["n", "hash", "test"])
     items = listed.groupBy("key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    starts = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end")))).alias("runs"))
-    one = lambda at, end: F.struct(at.alias("at"), end.alias("end"))
-    merged = F.aggregate("runs", F.array().cast("array<struct<at:int,end:int>>"), lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= r["at"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(one(F.element_at(acc, -1)["at"], F.greatest(F.element_at(acc, -1)["end"], r["end"]))))).otherwise(F.concat(acc, F.array(one(r["at"], r["end"])))))
-    spans = starts.select("key", merged.alias("spans")).join(items, "key", "left")
-    out = rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words")).join(spans, "key", "left")
+    judged = merged(found).join(items, "key", "left")
+    out = rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words")).join(judged, "key", "left")
     none = F.array().cast("array<string>")
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["at"])
-    return out.select("doc_id", "key", "n_words", F.coalesce(hit, F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")).alias("spans"))
+    return out.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")).alias("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_hit: float = 0.0) -> DataFrame:

@@ -213,6 +213,23 @@ def test_decontamination_on_odd_rows(spark, odd):
     assert decontam.decontaminate(empty(odd), tests).count() == 0
 
 
+def test_decontamination_beyond_the_broadcast(spark, odd):
+    """The shuffled way finds what the broadcast one finds; runs of windows merge as the hit words do."""
+    text = " ".join("a b c a a b".split() * 40)
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(50, text), (50, text), (51, "b " + text)], "doc_id long, text string"))
+    tests = spark.createDataFrame([(1, "a a"), (2, "c"), (3, "a b c a a b a b c a a b"), (4, "one two")], "item_id long, text string")
+    one, other = (sorted(map(repr, decontam.decontaminate(docs, tests, most_broadcast=m).collect())) for m in (2_000_000, 3))
+    assert one == other
+    for r in decontam.decontaminate(docs, tests).collect():
+        if r["doc_id"] in (50, 51):
+            words, hit = (text if r["doc_id"] == 50 else "b " + text).split(), set()
+            for item in ("a a", "c", "a b c a a b a b c a", "b c a a b a b c a a", "c a a b a b c a a b"):
+                own = item.split()
+                hit |= {i + k for i in range(len(words)) if words[i : i + len(own)] == own for k in range(len(own))}
+            assert {w for s in r["spans"] for w in range(s["at"], s["end"])} == hit and r["n_hit"] == len(hit)
+            assert all(x["end"] < y["at"] for x, y in zip(r["spans"], r["spans"][1:]))
+
+
 def brute_links(rows):
     fine = [(i, np.array(v), lab) for i, v, lab in rows if i is not None and lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     n, root = {r[0]: 0 for r in rows}, {r[0]: r[0] for r in rows}
