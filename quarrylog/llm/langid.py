@@ -1,6 +1,6 @@
 """Language ID: a byte convolutional network (filters of several widths, max pooling, softmax) fitted in numpy.
 
-Fitting takes a bounded sample of labelled rows. Texts, whole, are cut into windows of fixed length; windows of many texts
+Fitting takes a bounded sample of labelled windows of whole texts. Texts, whole, are cut into windows of fixed length; windows of many texts
 go through the network together, and a text's language has the highest mean probability over its windows, weighted
 by their bytes. The network, some 100 kB, goes to the executors with the task.
 
@@ -59,31 +59,34 @@ class ByteNetwork:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True), pooled, response, seen
 
+    def gradients(self, xs: np.ndarray, ys: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of windows; they go to the positions that won the pooling."""
+        wide, k = max(WIDTHS), FILTERS * len(WIDTHS)
+        prob, pooled, response, seen = self.forward(xs)
+        n, won = len(xs), response.argmax(1)
+        dz = prob.copy()
+        dz[np.arange(n), ys] -= 1
+        dz /= n
+        act = np.maximum(pooled + self.p["shift"], 0)
+        dpool = (dz @ self.p["dense"].T) * (act > 0)
+        picked = seen[np.arange(n)[:, None], won]  # text, filter, bytes * depth
+        g = {"dense": act.T @ dz, "bias": dz.sum(0), "shift": dpool.sum(0), "filters": np.einsum("nk,nkd->dk", dpool, picked).reshape(wide, DEPTH, k) * self.mask}
+        back = np.einsum("nk,wdk->nkwd", dpool, self.p["filters"])
+        which = xs[np.arange(n)[:, None, None], won[:, :, None] + np.arange(wide)]
+        g["bytes"] = np.zeros_like(self.p["bytes"])
+        np.add.at(g["bytes"], which.reshape(-1), back.reshape(-1, DEPTH))
+        g["bytes"][0] = 0
+        return g
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.004, seed: int = 11) -> None:
-        """Adam on the cross-entropy of single windows; gradients go to the positions that won the pooling."""
+        """Adam on the cross-entropy of single windows."""
         rng, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        wide, k = max(WIDTHS), FILTERS * len(WIDTHS)
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
-                xs, ys = x[order[at : at + batch]], y[order[at : at + batch]]
-                prob, pooled, response, seen = self.forward(xs)
-                n, won = len(xs), response.argmax(1)
-                dz = prob.copy()
-                dz[np.arange(n), ys] -= 1
-                dz /= n
-                act = np.maximum(pooled + self.p["shift"], 0)
-                dpool = (dz @ self.p["dense"].T) * (act > 0)
-                picked = seen[np.arange(n)[:, None], won]  # text, filter, bytes * depth
-                g = {"dense": act.T @ dz, "bias": dz.sum(0), "shift": dpool.sum(0), "filters": np.einsum("nk,nkd->dk", dpool, picked).reshape(wide, DEPTH, k) * self.mask}
-                back = np.einsum("nk,wdk->nkwd", dpool, self.p["filters"])
-                which = xs[np.arange(n)[:, None, None], won[:, :, None] + np.arange(wide)]
-                g["bytes"] = np.zeros_like(self.p["bytes"])
-                np.add.at(g["bytes"], which.reshape(-1), back.reshape(-1, DEPTH))
-                g["bytes"][0] = 0
                 step += 1
-                for name, grad in g.items():
+                for name, grad in self.gradients(x[order[at : at + batch]], y[order[at : at + batch]]).items():
                     m[name] = 0.9 * m[name] + 0.1 * grad
                     v[name] = 0.999 * v[name] + 0.001 * grad * grad
                     self.p[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
@@ -117,19 +120,21 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
-def train(docs: DataFrame, each: int = 400, most: int = 8000, windows_each: int = 6) -> ByteNetwork | None:
-    """Fits on about each texts of every language, most in all, windows_each windows spread over each text; docs (doc_id, text, lang) are those it may learn from."""
-    rows = labelled_sample(docs.where("doc_id is not null and lang is not null and text rlike '\\\\p{L}'").select("doc_id", "text", "lang"), "lang", each, most).orderBy("doc_id", "lang", "text").collect()
-    if not rows:
+def train(docs: DataFrame, each: int = 2400, most: int = 48_000) -> ByteNetwork | None:
+    """Fits on about each windows of every language, most in all but one at least of each; docs (doc_id, text, lang) are those it may learn from.
+
+    The labelled rows that are drawn are the windows of whole texts, all alike, so neither long texts nor their ends are left
+    out. They are cut and drawn by a hash of their bytes where the texts are; only drawn ones come to the driver.
+    """
+    rows = docs.where("doc_id is not null and lang is not null and text rlike '\\\\p{L}'").select("lang", F.encode("text", "UTF-8").alias("bytes"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("bytes") - 1) / WINDOW).cast("int")), lambda i: F.substring("bytes", i * WINDOW + 1, F.lit(WINDOW)))
+    pieces = rows.select("lang", cut.alias("cut")).select("lang", F.explode_outer("cut").alias("piece"))
+    drawn = labelled_sample(pieces, "lang", each, most, "piece").orderBy("lang", "piece").collect()
+    if not drawn:
         return None
-    network = ByteNetwork(sorted({r["lang"] for r in rows}))
-    x, y = [], []
-    for r in rows:
-        w = windows(r["text"].encode())
-        w = w[np.unique(np.linspace(0, len(w) - 1, windows_each).astype(int))]
-        x.append(w)
-        y += [network.languages.index(r["lang"])] * len(w)
-    network.fit(np.concatenate(x), np.array(y))
+    network = ByteNetwork(sorted({r["lang"] for r in drawn}))
+    number = {lang: i for i, lang in enumerate(network.languages)}
+    network.fit(np.concatenate([windows(bytes(r["piece"])) for r in drawn]), np.array([number[r["lang"]] for r in drawn]))
     return network
 
 

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -92,11 +92,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"connected components did not settle in {rounds} rounds")
 
 
-def labelled_sample(rows: DataFrame, label: str, each: int, most: int) -> DataFrame:
-    """About each rows of every label, and most rows in all at the very most, for fitting; the same rows in every run.
+def labelled_sample(rows: DataFrame, label: str, each: int, most: int, by: str) -> DataFrame:
+    """About each distinct rows of every label for fitting, fewer where there are so many labels that it would be over most in all, one at least; the same rows in every run.
 
-    A row is taken if a hash of its doc_id falls under its label's share, which comes from a count of the label's rows.
+    A row is taken if a hash of its column by falls under its label's share, which comes from a count of the label's rows; of
+    what falls under it, those of the smallest hashes, so that no label has more.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("_of"))
-    at = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    return rows.join(small(stash(counts, "label-counts"), 10_000), label).where(at < F.lit(float(each)) / F.col("_of")).drop("_of").limit(most)
+    counts = stash(rows.groupBy(label).agg(F.count("*").alias("_of")), "label-counts")
+    each = max(1, min(each, most // max(1, counts.count())))
+    at = F.pmod(F.xxhash64(by, F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    drawn = rows.join(small(counts, 10_000), label).withColumn("_at", at).where(F.col("_at") < F.lit(1.2 * each + 8) / F.col("_of")).drop("_of").distinct()
+    return drawn.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy("_at", by))).where(F.col("_rank") <= each).drop("_at", "_rank")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylog.llm.langid import held_out
-from quarrylog.llm.shared import bounded_batches, labelled_sample
+from quarrylog.llm.shared import bounded_batches, labelled_sample, stash
 
 #: Bytes that don't belong to words become blanks; A-Z become a-z.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -66,23 +66,62 @@ def log_ratio(x: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return np.logaddexp(steps[0, 1], steps[1, 1] + x) - np.logaddexp(steps[0, 0], steps[1, 0] + x)
 
 
-def marginals(e: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Log ratios of the marginals of all tokens of several texts, one after another in e; texts advance side by side."""
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+def laid(lengths: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and text of the stretches of at most block tokens that texts, one after another, are cut into."""
+    count = np.maximum(1, -(-lengths // block))
+    text = np.repeat(np.arange(len(lengths)), count)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    return (np.cumsum(lengths) - lengths)[text] + nth * block, np.minimum(block, lengths[text] - nth * block), text
+
+
+def side_by_side(starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each place t: the stretches that are longer than t, and their t-th tokens."""
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
-    most = int(lengths[0]) if len(lengths) else 0
-    active = np.searchsorted(-lengths, -np.arange(most), side="left")  # texts longer than t
-    ahead, behind = np.empty_like(e), np.zeros_like(e)
-    if most:
-        ahead[starts[: active[0]]] = e[starts[: active[0]]]
-    for t in range(1, most):
-        at = starts[: active[t]] + t
-        ahead[at] = e[at] + log_ratio(ahead[at - 1], steps)
-    for t in range(most - 1, 0, -1):
-        at = starts[: active[t]] + t
-        behind[at - 1] = log_ratio(e[at] + behind[at], steps.T)
-    return ahead + behind
+    active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")
+    for t, k in enumerate(active):
+        yield order[:k], starts[:k] + t
+
+
+def messages(e: np.ndarray, lengths: np.ndarray, steps: np.ndarray, block: int = 512) -> np.ndarray:
+    """r[t] = e[t] + log_ratio(r[t - 1]) within each text, the first r being e. Texts advance side by side, and so do the stretches of a long text.
+
+    A stretch turns the ratio that enters it into the one that leaves it by a 2 x 2 matrix of logs, the product of its
+    tokens' matrices; those of all stretches are made together, then the stretches' entries one after another.
+    """
+    starts, n, text = laid(lengths, block)
+    enters = np.full(len(starts), np.nan)  # none enters a text's first stretch
+    later = np.append(False, text[1:] == text[:-1]) if len(text) else np.empty(0, bool)
+    if later.any():
+        m = np.zeros((len(starts), 2, 2))
+        m[:, 0, 1] = m[:, 1, 0] = -np.inf
+        inner = np.flatnonzero(np.append(later[1:], False))  # stretches that another one of the text follows
+        for t, (own, at) in enumerate(side_by_side(starts[inner], n[inner])):
+            k = inner[own]
+            clean = np.logaddexp(steps[0, 0] + m[k, 0], steps[1, 0] + m[k, 1])
+            toxic = np.logaddexp(steps[0, 1] + m[k, 0], steps[1, 1] + m[k, 1]) + e[at][:, None]
+            top = np.maximum(clean.max(1), toxic.max(1))[:, None]
+            m[k, 0], m[k, 1] = clean - top, toxic - top
+            if t == 0:  # a text's first token has no step before it
+                first = ~later[k]
+                m[k[first], 0], m[k[first], 1] = [0.0, -np.inf], np.stack([e[at[first]], np.full(first.sum(), -np.inf)], 1)
+        for i in np.flatnonzero(later):
+            x = enters[i - 1] if later[i - 1] else 0.0
+            enters[i] = np.logaddexp(m[i - 1, 1, 0], m[i - 1, 1, 1] + x) - np.logaddexp(m[i - 1, 0, 0], m[i - 1, 0, 1] + x)
+    out = np.empty_like(e)
+    for t, (own, at) in enumerate(side_by_side(starts, n)):
+        if t:
+            out[at] = e[at] + log_ratio(out[at - 1], steps)
+        else:
+            first = np.isnan(enters[own])
+            out[at] = e[at] + np.where(first, 0.0, log_ratio(np.where(first, 0.0, enters[own]), steps))
+    return out
+
+
+def marginals(e: np.ndarray, lengths: np.ndarray, steps: np.ndarray, block: int = 512) -> np.ndarray:
+    """Log ratios of the marginals of all tokens of several texts, one after another in e."""
+    behind = messages(e[::-1], lengths[::-1], steps.T, block)[::-1]
+    return messages(e, lengths, steps, block) + behind - e
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -97,31 +136,37 @@ def document_features(m: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(lengths)), np.clip(top, -12, 12) / 4, np.log1p(sums)], 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, each: int = 1200, longest: int = 20_000, most_features: int = 20_000) -> Field | None:
-    """docs (doc_id, text) and labels (doc_id, toxic) that it may learn from: about each documents of either label, of longest characters at most."""
+def train(docs: DataFrame, labels: DataFrame, each: int = 1200) -> Field | None:
+    """docs (doc_id, text) and labels (doc_id, toxic) that it may learn from: about each documents of either label, whole, with all their words.
+
+    Of rows that share a doc_id the first text in order is learned, so that the bound holds for rows.
+    """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = F.broadcast(labelled_sample(marks, "toxic", each, 3 * each))  # labels are drawn, then their texts are read: no text is moved but these
-    rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(drawn, "doc_id").orderBy("doc_id", "text").collect()
-    texts, y = [words_of(r["text"]) for r in rows], np.array([r["toxic"] for r in rows], float)
-    if not 0 < y.sum() < len(y):
+    drawn = F.broadcast(stash(labelled_sample(marks, "toxic", each, 3 * each, "doc_id"), "toxic-sample"))  # labels are drawn, then their texts are read
+    rows = docs.select("doc_id", "text").join(drawn, "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id")
+    ids: dict[bytes, int] = {b"": 0}
+    texts, y = [], []
+    for r in stash(rows, "toxic-texts").orderBy("doc_id").toLocalIterator():  # here a text is a few bytes a word
+        texts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words_of(r["text"])), np.int32))
+        y.append(float(r["toxic"] == 1))
+    if not 0 < sum(y) < len(y):
         return None
-    return fit(texts, y, most_features)
+    return fit(list(ids), texts, np.array(y))
 
 
-def fit(texts: list[list[bytes]], y: np.ndarray, most_features: int, rounds: int = 40, piece: int = 256, most_tokens: int = 800_000, prior: float = 0.2, least_share: float = 0.03) -> Field:
-    """Memory is a few arrays of all tokens: words are numbers here, and features belong to the distinct words."""
-    ids: dict[bytes, int] = {b"": 0}
+def fit(words: list[bytes], texts: list[np.ndarray], y: np.ndarray, passes: int = 8, piece: int = 256, at_once: int = 65_536, prior: float = 0.2, least: int = 5) -> Field:
+    """words, and texts as numbers of words. All tokens are used, a stretch of pieces at a time: weights move after each, in several passes."""
+    known = [features(w) for w in words]
     whole = np.array([len(t) for t in texts], np.int64)
-    flat = np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in t), np.int64, whole.sum())
+    flat = np.concatenate(texts).astype(np.int64) if len(texts) else np.empty(0, np.int64)
     toxic = np.repeat(y, whole) == 1
-    known = [features(w) for w in ids]
     starts, ends = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
     full = whole[whole > 0]
     starts[np.cumsum(full) - full], ends[np.cumsum(full) - 1] = True, True
     before, after = np.where(starts, 0, np.roll(flat, 1)), np.where(ends, 0, np.roll(flat, -1))
     # a word counts once for each text and for each pair of neighbours, whichever are fewer: neither a text that repeats a
     # word nor copies of a text add up
-    n, owner = len(ids), np.repeat(np.arange(len(whole)), whole)
+    n, owner = len(words), np.repeat(np.arange(len(whole)), whole)
     held = [Counter(), Counter()]
     for own, h in zip((~toxic, toxic), held, strict=True):
         places = np.unique((before[own] * n + flat[own]) * n + after[own]) // n % n
@@ -130,43 +175,47 @@ def fit(texts: list[list[bytes]], y: np.ndarray, most_features: int, rounds: int
         for i in np.flatnonzero(c):
             for f in known[i]:
                 h[f] += int(c[i])
+    del starts, ends, before, after, owner
     n1, n0 = y.sum(), len(y) - y.sum()
-    least = max(5, least_share * n1)
     odds = {f: np.log((c + 0.5) / (n1 + 1)) - np.log((held[0][f] + 0.5) / (n0 + 1)) for f, c in held[1].items() if c >= least}
     # what the odds are at least, as far as chance goes: by two deviations fewer toxic texts and three clean ones more
     surely = {f: np.log((c - 2 * np.sqrt(c) + 0.5) / (n1 + 1)) - np.log((held[0][f] + 3) / (n0 + 1)) for f in odds if (c := held[1][f])}
-    chosen = sorted((f for f in odds if abs(odds[f]) >= 0.7), key=lambda f: (-abs(odds[f]) * np.sqrt(held[1][f]), f))[:most_features]
+    chosen = sorted(f for f in odds if abs(odds[f]) >= 0.7)
     index = {f: i + 1 for i, f in enumerate(chosen)}
     slots = max(map(len, known))
     table = np.array([([index.get(f, 0) for f in fs] + [0] * slots)[:slots] for fs in known], np.int32)
     sure = np.array([max((surely.get(f, 0.0) for f in fs), default=0.0) >= 1.5 for fs in known])
-    # the weights are fitted on every so many of the texts, cut into pieces; each piece is a sequence
-    fitted = np.arange(len(texts)) % -(-len(flat) // most_tokens) == 0
-    own = np.repeat(fitted, whole)
-    x, z = table[flat[own]], (toxic & sure[flat])[own].astype(float)
-    lengths = np.array([min(piece, k - i) for k in whole[fitted].tolist() for i in range(0, k, piece)], np.int64)
-    first = np.zeros(len(z), bool)
-    first[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int) if len(lengths) else []] = True
+    z = toxic & sure[flat]
+    at, lengths, _ = laid(whole, piece)
+    some = np.random.default_rng(5).permutation(np.flatnonzero(lengths > 0))
+    stretches = np.split(some, np.flatnonzero(np.diff(np.cumsum(lengths[some]) // at_once)) + 1)
     weights, bias, steps = np.zeros(len(chosen) + 1), -3.0, np.zeros((2, 2))
     squares, sb, ss = np.full(len(weights), 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    inner = np.flatnonzero(~first)
-    used = (x > 0).any(1)
-    for _ in range(rounds):
-        e = np.full(len(x), bias)
-        e[used] += weights[x[used]].sum(1)
-        m = marginals(e, lengths, steps)
-        p = sigmoid(m)
-        gap = z - p
-        grad = np.bincount(x[used].ravel(), np.repeat(gap[used], slots), len(weights)) - 0.05 * weights
-        grad[0] = 0
-        # expected steps: pairs of neighbouring states, by the joint of the messages from both sides
-        joint = pairs(e, m, lengths, steps, inner)
-        stood = np.array([[((1 - z[inner - 1]) * (1 - z[inner])).sum(), ((1 - z[inner - 1]) * z[inner]).sum()], [(z[inner - 1] * (1 - z[inner])).sum(), (z[inner - 1] * z[inner]).sum()]])
-        gs = stood - joint - 0.05 * steps
-        squares, sb, ss = squares + grad**2, sb + gap.sum() ** 2, ss + gs**2
-        weights, bias, steps = weights + 0.6 * grad / np.sqrt(squares), bias + 0.6 * gap.sum() / np.sqrt(sb), steps + 0.3 * gs / np.sqrt(ss)
-    e = (bias + weights[table].sum(1))[flat]
-    d = document_features(marginals(e, whole, steps), whole)
+    for _ in range(passes):
+        for own in stretches:
+            k = lengths[own]
+            spots = np.repeat(at[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            x, gold = table[flat[spots]], z[spots].astype(float)
+            e = bias + weights[x].sum(1)
+            m = marginals(e, k, steps)
+            gap = gold - sigmoid(m)
+            grad = np.bincount(x.ravel(), np.repeat(gap, slots), len(weights)) - 0.05 * weights / len(stretches)
+            grad[0] = 0
+            inner = np.ones(len(spots), bool)
+            inner[np.cumsum(k) - k] = False
+            inner = np.flatnonzero(inner)
+            # expected steps: pairs of neighbouring states, by the joint of the messages from both sides
+            joint = pairs(e, m, k, steps, inner)
+            stood = np.array([[((1 - gold[inner - 1]) * (1 - gold[inner])).sum(), ((1 - gold[inner - 1]) * gold[inner]).sum()], [(gold[inner - 1] * (1 - gold[inner])).sum(), (gold[inner - 1] * gold[inner]).sum()]])
+            gs = stood - joint - 0.05 * steps / len(stretches)
+            squares, sb, ss = squares + grad**2, sb + gap.sum() ** 2, ss + gs**2
+            weights, bias, steps = weights + 0.6 * grad / np.sqrt(squares), bias + 0.6 * gap.sum() / np.sqrt(sb), steps + 0.3 * gs / np.sqrt(ss)
+    every = weights[table].sum(1)
+    d = []
+    for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(np.cumsum(whole) // (8 * at_once))) + 1):
+        words_here = np.concatenate([texts[i] for i in own])
+        d.append(document_features(marginals(bias + every[words_here], whole[own], steps), whole[own]))
+    d = np.concatenate(d)
     c = np.zeros(3)
     balance = np.where(y == 1, prior / y.sum(), (1 - prior) / (1 - y).sum())
     for _ in range(1500):  # Newton's method would do; plain steps on three weights are enough
@@ -176,14 +225,7 @@ def fit(texts: list[list[bytes]], y: np.ndarray, most_features: int, rounds: int
 
 def pairs(e: np.ndarray, m: np.ndarray, lengths: np.ndarray, steps: np.ndarray, inner: np.ndarray) -> np.ndarray:
     """Expected numbers of the four steps. For the token before: its messages from the left; for the token: all but the step."""
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int)
-    order = np.argsort(-lengths, kind="stable")
-    ahead = np.empty_like(e)
-    s, n = starts[order], lengths[order]
-    active = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
-    for t in range(len(active)):
-        at = s[: active[t]] + t
-        ahead[at] = e[at] if t == 0 else e[at] + log_ratio(ahead[at - 1], steps)
+    ahead = messages(e, lengths, steps)
     right = m[inner] - log_ratio(ahead[inner - 1], steps)  # emission and what comes from the right
     left = ahead[inner - 1]
     logs = np.stack([np.full(len(inner), steps[0, 0]), steps[0, 1] + right, steps[1, 0] + left, steps[1, 1] + left + right])
