@@ -10,7 +10,7 @@ Links are summed per vector; a spanning set of each task's links goes to the com
 
 Nulls, ties, empty inputs: null labels, null or zero vectors, vectors with null or non-finite components and rows without
 vec_id link with nothing and are their own component; vectors of different lengths don't link; rows that repeat a vector
-count as others each; the smallest vec_id names a component and is kept; an empty table gives an empty result. Other
+count as others each, and so do different vectors that share a vec_id; the smallest vec_id names a component and is kept; an empty table gives an empty result. Other
 columns are ignored.
 """
 
@@ -218,7 +218,7 @@ def blocks_of(own: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
 def link(vectors: DataFrame, least_cosine: float = 0.98, block: int = BLOCK) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept."""
     rows, own = distinct_vectors(vectors)
-    own = stash(own, "vectors")
+    own = stash(own.withColumnRenamed("id", "smallest").withColumn("id", F.col("key")), "vectors")  # vectors go by their keys, as a vec_id may repeat
     reach = float(np.sqrt(2 - 2 * least_cosine))
     placed, pairs = blocks_of(own, block)
     pairs = pairs.where(F.col("apart") <= F.col("radius_a") + F.col("radius_b") + reach + 1e-6).withColumn("task", F.concat_ws("/", "space", "cell_a", "part_a", "cell_b", "part_b"))
@@ -227,8 +227,9 @@ def link(vectors: DataFrame, least_cosine: float = 0.98, block: int = BLOCK) ->
     found = stash(dealt.groupBy("task").applyInPandas(lambda pdf: block_links(pdf, least_cosine), "id long, links long, root long"), "vector-links")
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = own.select("key", "id", "copies").join(sums, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    known = own.select("key", "id", "smallest", "copies").join(sums, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = known.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    known = known.join(first, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.join(known, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

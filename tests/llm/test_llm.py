@@ -278,6 +278,14 @@ def test_cover_trees_against_brute_force(spark, block):
     assert embed_dedup.link(empty(df)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    """Links go by vector: two vectors of one vec_id keep their own links."""
+    e = lambda i, x=0.0: [x if k == 7 else float(k == i) for k in range(8)]
+    rows = [(5, e(0)), (5, e(1)), (6, e(0, 0.1)), (7, e(1, 0.1)), (8, e(1, 0.05))]
+    out = embed_dedup.link(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(5, 1, 5), (5, 2, 5), (6, 1, 5), (7, 2, 5), (8, 2, 5)]
+
+
 def test_quotes_are_linked(spark):
     rows = [(1, 0, "a", "Hello there all.\nHow are you"), (1, 1, "b", "> Hello there all.\n> How are you\nFine, thanks"), (1, 2, "c", "On Monday b wrote:\n> > Hello there all.\n> Fine, thanks\nGood to hear"), (1, 3, "a", None), (1, 4, "d", "> good   TO hear\n\nYes"), (2, 0, "a", "> Hello there all.\nx"), (None, 1, "a", "> x\ny"), (3, None, None, "z"), (1, 3, "a", None), (1, 700, "e", "> Hello there all.\nlate")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, units int")
@@ -314,10 +322,28 @@ def test_archives_come_back(spark, tmp_path):
     assert kinds == [("1", "response", None), ("1", "response", None), ("2", "response", None), ("3", "revisit", 1), ("4", "response", None), ("5", "revisit", 2), ("None", "revisit", 1)]
     again = warc.write(pages, f"file://{tmp_path}/again", roll_bytes=300)
     assert sorted(r["sha256"] for r in again.collect()) == sorted(r["sha256"] for r in manifest.collect())
+    assert warc.by_file(manifest).rdd.getNumPartitions() == manifest.count() > 1
     warc.write(empty(pages), f"file://{tmp_path}/none")
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_archives_that_stop_are_not_there(spark, tmp_path, monkeypatch):
+    """A run that stops before its manifest is in place leaves no archive; the next one is whole and removes what was left."""
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    warc.write(pages.where("page_id < 5"), folder)
+    with monkeypatch.context() as m:
+        m.setattr(warc, "publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            warc.write(pages, folder, roll_bytes=300)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        warc.read(spark, folder)
+    assert any(f.name.startswith("_tmp-") for f in (tmp_path / "w").iterdir())
+    files = {r["file"] for r in warc.write(pages, folder, roll_bytes=300).collect()}
+    assert {f.name for f in (tmp_path / "w").iterdir() if not f.name.endswith(".crc")} == files | {"manifest"}
+    assert sorted(r["page_id"] for r in warc.read(spark, folder).collect()) == list(range(20))
+
+
 def test_mix_on_odd_rows(spark, odd):
     rows = mixing.taken_words(odd).collect()
     assert len(rows) == odd.count()
