@@ -167,6 +167,27 @@ def test_url_rules_are_mined(spark):
         assert r["mined"] == (best and best["rule"])
 
 
+def test_url_rules_on_the_given_pages(spark):
+    """Rules are mined on three quarters of the pages with a known verdict and hold on the others."""
+    sf = SF.replace("0.001", "0.1")
+    known = url_filter.known_pages(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("pages", "labels")))
+    held = F.crc32(F.col("page_id").cast("string")) % 4 == 2
+    rules = url_filter.mine(known.where(~held).select("tokens", "bad")).collect()
+    assert rules and all(r["lift"] >= 1.2 for r in rules)
+    rows = [(r["bad"], any(set(x["tokens"]) <= set(r["tokens"]) for x in rules)) for r in known.where(held).collect()]
+    caught = sum(m and b for b, m in rows)
+    print(len(rules), caught, sum(m for _, m in rows), sum(b for b, _ in rows))
+    assert caught / sum(m for _, m in rows) >= 0.8 and caught / sum(b for b, _ in rows) >= 0.6
+    assert queries.QUERIES["op2_url_filter"](spark, sf).where("mined is not null").count() > 200
+
+
+def test_url_tokens_that_are_always_together(spark):
+    """Forty tokens that come together are one item, not 2 ** 40 sets."""
+    rows = [([f"t{i:02}" for i in range(40)] + [f"u{k % 3}"], k % 2 == 0) for k in range(60)] + [(["v"], False)] * 60
+    rules = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_confidence=0.4).collect()
+    assert {r["rule"] for r in rules} == {"t00"}
+
+
 def test_language_on_held_out_texts(spark):
     sf = SF.replace("0.001", "0.01")
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
