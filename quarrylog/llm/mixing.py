@@ -27,7 +27,7 @@ BINS = 4096
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
     words = F.size(F.array_remove(F.split("text", BLANKS), ""))
-    return docs.select("doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(words).cast("long").alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("ord"))
+    return docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("key"), F.when(F.col("text").isNull(), 0).otherwise(words).cast("long").alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("ord"))
 
 
 def targets(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most_repeats: int = 3) -> DataFrame:
@@ -71,7 +71,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most_repeats: i
     """docs (doc_id, text, source) -> pieces and documents.
 
     pieces: slot, src, block, doc_id, start, size, pass, from_word, n_words: which words of which document a slot of the
-    mix holds, in its pass-th run through the source. documents: doc_id, source, size, source_size, target, start of each row.
+    mix holds, in its pass-th run through the source. documents: doc_id, source, key (of its doc_id and text), size, source_size, target, start of each row.
+    Sources are ranked and their excess is shared in one task, over one row for each source: some millions of sources at most.
     """
     rows = sized(docs, seed)
     shares = stash(targets(rows, weights, most_repeats), "mix-shares")
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most_repeats: i
     before = sums.select("src", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inner = Window.partitionBy("src", "bucket").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(inner)).join(before, ["src", "bucket"])
-    placed = stash(placed.select("doc_id", "source", "src", "size", "source_size", "target", (F.col("before") + F.col("upto") - F.col("size")).alias("start")), "mix-placed")
+    placed = stash(placed.select("doc_id", "source", "key", "src", "size", "source_size", "target", (F.col("before") + F.col("upto") - F.col("size")).alias("start")), "mix-placed")
     slots = stash(schedule(shares, math.ceil(words / block_words)), "mix-slots")
     taken = small(stash(slots.groupBy("src").agg((F.count("*") * block_words).alias("words")), "mix-taken"), 100_000)
     reach = placed.where("size > 0").join(taken, "src").withColumn("words", F.least("words", F.col("source_size") * most_repeats))
@@ -105,6 +106,24 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     return used.unionByName(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
 
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, in slot order: slot, part (of the slot), source, doc_id, pass, from_word, n_words, text, where text is those words, one blank between.
+
+    A text is read once, with the list of its own pieces, and cut where it lies.
+    """
+    pieces, placed = mix(docs, **options)
+    names = placed.where("size > 0").select("src", "start", "key", "source")
+    own = F.struct("slot", "source", F.col("src"), "block", "start", "pass", "from_word", "n_words")
+    wanted = pieces.join(names, ["src", "start"]).groupBy("key").agg(F.collect_list(own).alias("own"))
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").dropDuplicates(["key"])
+    # words before the join: Spark would else put their making into the cut, once for each piece
+    words = texts.select("doc_id", "key", F.array_remove(F.split("text", BLANKS), "").alias("words")).join(wanted, "key")
+    cut = F.transform("own", lambda p: F.struct(*[p[c].alias(c) for c in ("slot", "source", "src", "block", "start", "pass", "from_word", "n_words")], F.array_join(F.slice("words", (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), " ").alias("text")))
+    rows = words.select("doc_id", cut.alias("cut")).select("doc_id", F.explode_outer("cut").alias("p"))
+    rows = rows.select("p.slot", F.struct("p.pass", "p.start").alias("part"), "p.source", "doc_id", "p.pass", "p.from_word", "p.n_words", "p.text")
+    return rows.repartitionByRange("slot", "part").sortWithinPartitions("slot", "part")
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return taken_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
