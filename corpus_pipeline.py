@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five stages of quarrylog.llm operators, each over all that the one before kept."""
+"""A training corpus from raw documents: five stages of quarrylog.llm operators, each over all that the one before kept.
+
+Nulls, ties, empty inputs: a null or empty text is not toxic, but has no language, so it goes in the second stage; a null doc_id is
+never learned from and is judged by its text; rows that repeat are copies, of which the third stage leaves one; very long texts are judged
+and cut whole; other columns, whatever their names, are kept until the last stage; an empty table gives an empty mix. The last
+stage writes the mixed corpus in slot order: which words of which document each slot holds, with their text.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(docs)
+    return mixing.mixed_texts(docs)
 
 
 STAGES = [
