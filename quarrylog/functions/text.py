@@ -144,10 +144,9 @@ def mask_value(v: Column) -> Column:
 
 
 def mask_formats(text: Column) -> Column:
-    """Phones, identity cards, e-mail addresses and bank cards, by their form. Texts that can't hold one aren't searched."""
-    digits = text.rlike(r"\d{11}")
-    steps = ((digits, V.PHONE, "$1****$2"), (digits, V.ID_CARD, "$1********$2"), (text.contains("@"), V.EMAIL, "$1***$2"), (digits, V.BANK_CARD, "$1****$2"))
-    return reduce(lambda c, s: F.when(s[0], F.regexp_replace(c, s[1], s[2])).otherwise(c), steps, text)
+    """Phones, identity cards, e-mail addresses and bank cards, by their form, one after another."""
+    steps = ((V.PHONE, "$1****$2"), (V.ID_CARD, "$1********$2"), (V.EMAIL, "$1****$2"), (V.BANK_CARD, "$1********$2"))
+    return reduce(lambda c, s: F.regexp_replace(c, *s), steps, text)
 
 
 PAIR = re.compile(r"""([A-Za-z_]+)["']?\s*[:=]\s*["']?""")
@@ -206,4 +205,11 @@ def chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
 
 
 def shorten(text: Column, most: int = 8000, head: int = 3500, tail: int = 2000) -> Column:
-    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, head), F.lit("\n... [truncated] ...\n"), F.right(text, F.lit(tail)))).otherwise(text)
+    """Head and tail of longer texts, with how many characters were left out between."""
+    omitted = (F.char_length(text) - head - tail).cast("string")
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, head), F.lit("\n\n... ("), omitted, F.lit(" chars omitted) ...\n\n"), F.right(text, F.lit(tail)))).otherwise(text)
+
+
+def cut_with_mark(text: Column, most: int = 32_000) -> Column:
+    """The first characters of longer texts, and a mark that there were more."""
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n... (truncated)"))).otherwise(text)

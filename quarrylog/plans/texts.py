@@ -123,9 +123,9 @@ def signature_normalize(spark, sf_dir):
     return T.logs(spark, sf_dir).select("log_id", X.normalize_signature(F.col("message")).alias("signature"))
 
 
-@query("mask_email", "select doc_id, regexp_replace(text, '([a-zA-Z0-9._%+-]{1,3})[a-zA-Z0-9._%+-]*(@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,})', '\\1***\\2', 'g') as masked from documents where contains(text, '@')")
+@query("mask_email", "select doc_id, regexp_replace(text, '([a-zA-Z0-9._%+-]{1,3})[a-zA-Z0-9._%+-]*(@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,})', '\\1****\\2', 'g') as masked from documents where contains(text, '@')")
 def mask_email(spark, sf_dir):
-    return T.table(spark, sf_dir, "documents").where(F.col("text").contains("@")).select("doc_id", F.regexp_replace("text", V.EMAIL, "$1***$2").alias("masked"))
+    return T.table(spark, sf_dir, "documents").where(F.col("text").contains("@")).select("doc_id", F.regexp_replace("text", V.EMAIL, "$1****$2").alias("masked"))
 
 
 @query("mask_sensitive")
@@ -145,6 +145,16 @@ def kb_chunks(spark, sf_dir):
     return d.withColumn("chunk", F.col("chunk").cast("long"))
 
 
+@query("shortened_results", "select doc_id, case when length(text) > 800 then text[1:350] || chr(10) || chr(10) || '... (' || (length(text) - 550) || ' chars omitted) ...' || chr(10) || chr(10) || right(text, 200) else text end as shown from documents where text is not null")
+def shortened_results(spark, sf_dir):
+    return T.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.shorten(F.col("text"), 800, 350, 200).alias("shown"))
+
+
+@query("cut_texts", "select doc_id, case when length(text) > 3200 then text[1:3200] || chr(10) || '... (truncated)' else text end as shown from documents where text is not null")
+def cut_texts(spark, sf_dir):
+    return T.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.cut_with_mark(F.col("text"), 3200).alias("shown"))
+
+
 @query("kb_duplicates", "select sha256(text) as hash, source, count(*) as copies, min(doc_id) as first_id from documents where text is not null group by 1, 2 having count(*) > 1")
 def kb_duplicates(spark, sf_dir):
     d = T.table(spark, sf_dir, "documents").where("text is not null")

@@ -29,8 +29,8 @@ def test_normalized_levels(spark):
     [
         ("用户手机号 13912345678 登录失败", "139****5678"),
         ("身份证号 110101199001011234", "110101********1234"),
-        ("邮箱 zhangsan@example.com 注册", "zha***@example.com"),
-        ("卡号 6222021234567890123 ok", "6222****0123"),
+        ("邮箱 zhangsan@example.com 注册", "zha****@example.com"),
+        ("卡号 6222021234567890123 ok", "6222********0123"),
         ("phone=13812345678 called", "phone=138****5678"),
         ("the password: hunter2secret!", "hun****ret!"),
         ("guid=abcdefghij", "guid=abc****ghij"),
