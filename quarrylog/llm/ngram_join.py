@@ -38,8 +38,8 @@ from quarrylog.llm.shared import bounded_batches, components, small, stash
 WIDTH = 5
 #: Share of the hash space that step 2's fragment holds.
 SHARE = 0.3
-#: N-grams that one task of a fragment holds, about.
-PART = 2_000_000
+#: N-grams that one task of a fragment holds, about, and that a task deals at once, so that few arrays of them are in memory.
+PART, AT_ONCE = 1_000_000, 500_000
 #: Ranges of frequency, by doubling, that the global order is cut into.
 FRAGMENTS = 6
 
@@ -115,23 +115,30 @@ def packed(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def dealt(docs: DataFrame, parts: int, tally: bool, only_low: bool = False) -> DataFrame:
-    """docs (text) -> part, sids, grams (and counts): the n-grams of each batch of texts, dealt over parts by hash and packed into arrays.
+    """docs (text) -> part, sids, grams (and counts): the n-grams of texts, some AT_ONCE at a time, dealt over parts by hash and packed into arrays.
 
-    A task deals each set once, however many copies it reads. With tally, an n-gram is dealt once for each batch: with one of its sets and
+    A task deals each set once, however many copies it reads. With tally, an n-gram is dealt once each time: with one of its sets and
     the number of all. Where that is more than one, its sets know already that they share it: they are told by rows with
-    count -1 and, in grams, how many such n-grams a set has. So no n-gram, however frequent, brings more than a row for each batch.
+    count -1 and, in grams, how many such n-grams a set has. So no n-gram, however frequent, brings more than an entry each time.
     """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
+        """The sets that are new to this task, some AT_ONCE n-grams at a time."""
+        hashes, seen, found, size = WordHashes(), set(), [], 0
         for batch in batches:
-            found = []
             for s in (shingles(t, hashes) for t in texts_of(batch)):
                 if len(s) and (i := set_id(s)) not in seen:
                     seen.add(i)
-                    found.append((i, s[: low_end(s)] if only_low else s))
-            if not sum(len(s) for _, s in found):
-                continue
+                    found.append((i, s[: low_end(s)].copy() if only_low else s))
+                    size += len(found[-1][1])
+                    if size >= AT_ONCE:
+                        yield found
+                        found, size = [], 0
+        if size:
+            yield found
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in read(batches):
             grams = np.concatenate([s for _, s in found])
             sids = np.repeat(np.array([i for i, _ in found], np.int64), [len(s) for _, s in found])
             if not tally:
