@@ -50,7 +50,7 @@ class WordHashes(dict):
     """word -> its hash, kept for the words seen last."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found

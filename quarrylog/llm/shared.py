@@ -51,7 +51,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches to Python are cut by bytes too, so that a run of very long texts fits in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 

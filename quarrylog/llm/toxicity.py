@@ -53,7 +53,7 @@ class Field:
         def look(w: bytes) -> float:
             e = known.get(w)
             if e is None:
-                if len(known) > 500_000:
+                if len(known) > 100_000:
                     known.clear()
                 e = known[w] = self.bias + sum(self.weights.get(f, 0.0) for f in features(w))
             return e
@@ -266,7 +266,7 @@ def tag(docs: DataFrame, field: Field | None) -> DataFrame:
             scores, spans, at = np.zeros(len(texts)), [[]] * len(texts), 0
             while at < len(texts):
                 own, tokens = [], 0
-                while at + len(own) < len(texts) and (tokens < 1_000_000 or not own):
+                while at + len(own) < len(texts) and (tokens < 200_000 or not own):
                     own.append(field.emissions(words_of(texts[at + len(own)]), known))
                     tokens += len(own[-1])
                 lengths = np.array([len(x) for x in own], np.int64)
