@@ -53,6 +53,14 @@ def message_of(*fields: Column, whole: Column) -> Column:
     return F.coalesce(*map(nullif_empty, fields), F.substring(whole, 1, 500))
 
 
+METADATA = {"domain": "$.gy.domain", "pod_name": "$.gy.podname", "branch": "$.gy.branch", "filetype": "$.gy.filetype", "image_version": "$.image.version", "host_name": "$.host.name"}
+
+
+def metadata(source: Column) -> Column:
+    """A JSON document's origin as a struct of strings, empty where a field or its object is missing; the document is parsed once."""
+    return F.transform(F.array(F.try_parse_json(source)), lambda v: F.struct(*[F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")).alias(name) for name, path in METADATA.items()]))[0]
+
+
 def format_line(ts: Column, level: Column, message: Column, **meta: Column) -> Column:
     parts = F.concat_ws(", ", *[F.when(nullif_empty(c).isNotNull(), F.concat(F.lit(f"{k}:"), c)) for k, c in meta.items()])
     return F.concat(F.lit("["), ts, F.lit("] ["), F.upper(level), F.lit("] "), F.when(parts != "", F.concat(F.lit("["), parts, F.lit("] "))).otherwise(""), message)

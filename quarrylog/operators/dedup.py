@@ -29,6 +29,23 @@ def unseen(rows: DataFrame, seen: DataFrame, as_of) -> DataFrame:
     return rows.join(seen.where(F.col("expire_at") > F.lit(as_of)).select("fingerprint").distinct(), "fingerprint", "left_anti")
 
 
+def remember(seen: DataFrame, rows: DataFrame, as_of, seconds: int) -> DataFrame:
+    """The next snapshot of seen (fingerprint, expire_at): the fingerprints of rows live so long from now, and what has expired goes."""
+    until = (F.lit(as_of) + F.make_dt_interval(secs=F.lit(seconds))).cast("timestamp_ntz")
+    both = seen.select("fingerprint", "expire_at").unionByName(rows.select("fingerprint", until.alias("expire_at")))
+    return both.where(F.col("fingerprint").isNotNull() & (F.col("expire_at") > F.lit(as_of))).groupBy("fingerprint").agg(F.max("expire_at").alias("expire_at"))
+
+
+def write_back(analyses: DataFrame, as_of, ttl_hours: int = 168, most: int = 3000) -> DataFrame:
+    """analyses (content, ...) as new rows of the known issues, to be appended: open, seen once, with a time to live; content is cut."""
+    now, none = F.lit(as_of).cast("timestamp_ntz"), F.lit(None)
+    fresh = {
+        "content": F.substring("content", 1, most), "status": F.lit("open"), "hits": F.lit(1).cast("long"), "created_at": now, "first_seen": now, "last_seen": now,
+        "expire_at": now + F.make_dt_interval(hours=F.lit(ttl_hours)), "resolved_at": none.cast("timestamp_ntz"), "quality": none.cast("string"),
+    }
+    return analyses.withColumns(fresh)
+
+
 def compare(base: DataFrame, other: DataFrame, band: float = 0.15) -> DataFrame:
     """base and other (signature, severity, confidence, seq), the last of a signature counting -> signature and how it changed.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.functions import text as X
+from quarrylog.functions import values as V
 
 
 def score(severity: Column, confidence: Column, current: Column, baseline: Column, weight: Column, core: Column, log_count: Column, stacks: Column, types: Column, history: Column) -> Column:
@@ -40,6 +41,19 @@ def action(level: Column, night: Column, policy: Column, suppressed: Column) ->
     return F.struct(notify.alias("notify"), wake.alias("wake"), delay.alias("delay"))
 
 
+def override_regressions(decisions: DataFrame, regressed: Column) -> DataFrame:
+    """decisions (score, priority, notify, wake, reason, ...): issues that came back after they were resolved are P0, told at once and at night."""
+    back = F.coalesce(regressed, F.lit(False))
+    changed = {"priority": F.lit("P0"), "notify": F.lit(True), "wake": F.lit(True), "reason": F.format_string(V.REGRESSION_REASON, F.col("score").cast("string"))}
+    return decisions.withColumns({name: F.when(back, c).otherwise(F.col(name)) for name, c in changed.items()})
+
+
+def top_confidence(results: DataFrame, *keys: str) -> DataFrame:
+    """Of the most severe finding of each key; 0.7 where no severity is known. A null severity counts as info."""
+    known = X.lookup(F.coalesce("severity", F.lit("info")), V.SEVERITY_CONFIDENCE)
+    return results.groupBy(*keys).agg(F.coalesce(F.max(known), F.lit(0.7)).alias("confidence"))
+
+
 def adjustment(alerts: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
     """From alerts (keys, status) and results (keys, feedback): 15 * (share acknowledged - 0.5) of 3 or more, 5 * mean feedback of 2 or more, within -15 and 10."""
     acked = alerts.groupBy(*keys).agg(F.count("*").alias("alerts"), F.count_if(F.col("status").isin("acknowledged", "resolved")).alias("acked"))

@@ -55,3 +55,9 @@ def other_services(logs: DataFrame, own, low, high, query: str | None = None, mo
     where = search.between(F.col("ts"), low, high) & (F.col("service") != own) & (F.col("level") == "ERROR")
     rows = logs.where(where if query is None else where & search.text_filter(query, F.col("message")))
     return search.terms(rows, F.col("service"), most)
+
+
+def related(upstream, downstream, most: int = 6):
+    """Arrays of services above and below -> the first of both in order, with their direction; one that is in both is upstream."""
+    direction = lambda s: F.when(F.array_contains(upstream, s), "upstream").otherwise("downstream")
+    return F.transform(F.slice(F.concat(upstream, downstream), 1, most), lambda s: F.struct(s.alias("service"), direction(s).alias("direction")))
