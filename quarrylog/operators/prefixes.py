@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylog.operators.vector import settled
+from quarrylog.sources.scratch import stash
 
 #: Characters of a prefix, of a gram, so that 32 grams are in a window, and of a text that are hashed at once.
 LENGTH, GRAM, PIECE = 80, 49, 1 << 16
@@ -75,7 +75,7 @@ def held(texts: DataFrame, key: str, prefixes: DataFrame, broadcast_texts: bool)
     there = anchored(texts, key, F.col("text"))
     near = few(there).join(wanted, "anchor") if broadcast_texts else there.join(few(wanted), "anchor")
     # a text goes once to the prefixes it may hold, which are short
-    may = settled(near.groupBy(key).agg(F.collect_set("prefix").alias("may")))
+    may = stash(near.groupBy(key).agg(F.collect_set("prefix").alias("may")), "may-hold")
     return texts.join(few(may), key).select(key, F.explode(F.filter("may", lambda p: F.col("text").contains(p))).alias("prefix")).distinct()
 
 
@@ -88,5 +88,5 @@ def matches(docs: DataFrame, known: DataFrame) -> DataFrame:
     d, b = cut(docs, "dk"), cut(known, "bk")
     one = held(d.select("dk", "text"), "dk", b.select("prefix").distinct(), False).join(b.select("bk", "prefix").distinct(), "prefix")
     other = held(b.select("bk", "text"), "bk", d.select("prefix").distinct(), True).join(d.select("dk", "prefix").distinct(), "prefix")
-    pairs = settled(one.select("dk", "bk").union(other.select("dk", "bk")).distinct())
+    pairs = stash(one.select("dk", "bk").union(other.select("dk", "bk")).distinct(), "held-pairs")
     return d.select("doc_id", "dk").join(few(pairs), "dk").join(b.select("item_id", "bk"), "bk").select("doc_id", "item_id")

@@ -34,7 +34,7 @@ def count_error_patterns(logs: DataFrame, by: str, most: int = 50) -> DataFrame:
 
 def similar_incidents(issue: DataFrame, library: DataFrame, k: int = 3) -> DataFrame:
     """issue (query_id, q) against all of the library (vec_id, v), whatever its line or quality."""
-    return vector.knn(issue, library, k)
+    return vector.knn_by_tiles(issue, library, k)
 
 
 def known_issue(issues: DataFrame, issue_id) -> DataFrame:

@@ -168,22 +168,22 @@ def kb_doc_counts(spark, sf_dir):
     return d.select("source").distinct().join(own, "source", "left").na.fill(0)
 
 
-KNN = "with q as (select vec_id as query_id, label as ql, embedding::double[] as q from embeddings where vec_id % 50 = 7), s as (select query_id, vec_id, list_dot_product(q, embedding::double[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::double[], embedding::double[])) as score from q, embeddings where vec_id <> query_id {where}), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as place from s) select query_id, vec_id, round(score, 6) as score, place from r where place <= {k}"
+KNN = "with q as (select vec_id as query_id, label as ql, embedding::double[] as q from embeddings where vec_id % 20 = 0), s as (select query_id, vec_id, list_dot_product(q, embedding::double[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::double[], embedding::double[])) as score from q, embeddings where vec_id <> query_id {where}), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as place from s) select query_id, vec_id, round(score, 6) as score, place from r where place <= {k}"
 
 
 @query("knn_top3", KNN.format(where="", k=3))
 def knn_top3(spark, sf_dir):
     e = T.table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id % 50 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return vector.knn(queries, e.select("vec_id", F.col("embedding").alias("v")), 3, on=F.col("vec_id") != F.col("query_id"))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vector.knn_by_tiles(queries, e.select("vec_id", F.col("embedding").alias("v")), 3, apart=True)
 
 
 @query("semantic_dedup_hit", KNN.format(where="and label = ql and list_dot_product(q, embedding::double[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::double[], embedding::double[])) >= 0.3", k=1))
 def semantic_dedup_hit(spark, sf_dir):
     """The nearest vector of the same line, if it is near enough."""
     e = T.table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id % 50 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    return vector.knn(queries, e.select("vec_id", F.col("embedding").alias("v"), "label"), 1, 0.3, (F.col("vec_id") != F.col("query_id")) & (F.col("label") == F.col("ql")))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    return vector.knn_by_tiles(queries, e.select("vec_id", F.col("embedding").alias("v"), "label"), 1, 0.3, "label", True)
 
 
 @query("ignored_issue_match", "select doc_id, item_id from documents d join benchmark b on contains(d.text, substr(b.text, 1, 80)) or contains(b.text, substr(d.text, 1, 80)) where length(b.text) >= 80 and length(d.text) >= 80")

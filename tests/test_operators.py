@@ -127,6 +127,26 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     assert similar() == incidents and len(incidents) == 3 * 45
 
 
+def test_tiles_give_the_same_neighbours(spark, monkeypatch):
+    """Ties, repeated rows, null, zero, short and non-finite vectors, null ids and labels, against the plain search."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)], i % 3 if i % 7 else None) for i in range(200)]
+    rows += [(300, None, 1), (301, [0.0, 0.0, 0.0], 1), (302, [1.0, 2.0], 1), (303, [2.0, 1.0], 1), (304, [1.0, None, 1.0], 1), (3, rows[3][1], rows[3][2])]
+    library = spark.createDataFrame(rows, "vec_id long, v array<float>, label int")
+    queries = library.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("label"))
+    near = lambda df: sorted(map(tuple, df.collect()))
+    on = (F.col("vec_id") != F.col("query_id")) & (F.col("label") == F.col("ql"))
+    want = near(vector.knn(queries.withColumnRenamed("label", "ql"), library, 4, 0.2, on))
+    everywhere = near(vector.knn(queries.drop("label"), library.drop("label"), 4))
+    monkeypatch.setattr(vector, "TILE", 16)
+    assert near(vector.knn_by_tiles(queries, library, 4, 0.2, "label", True)) == want and len(want) > 200
+    assert near(vector.knn_by_tiles(queries, library, 4)) == everywhere
+    lone = spark.createDataFrame([(None, [1.0, 0.0, 0.0], 1), (9, [float("nan"), 0.0, 0.0], 1)], "vec_id long, v array<float>, label int")
+    assert near(vector.knn_by_tiles(queries, lone, 4)) == []
+    assert near(vector.knn_by_tiles(queries.where("false"), library, 4, same="label")) == []
+    assert near(vector.knn_by_tiles(queries.where("false"), library, 4)) == []
+
+
 def test_prefixes_of_many_known_texts(spark):
     """More known texts than were taken before, repeated rows, non-ASCII texts, runs of one character and both directions, against a search through all."""
     rng = np.random.default_rng(4)
