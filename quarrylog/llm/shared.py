@@ -1,56 +1,17 @@
-"""What several operators use: shared scratch tables, checked broadcasts, word columns and connected components."""
+"""What several operators use: checked broadcasts, word columns and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylog.sources.scratch import delete, scratch, stash  # noqa: F401  # the operators take them from here
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary folder on a local master and the warehouse on a cluster."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        spark.conf.set("spark.checkpoint.dir", base := "file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
-        return base
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def drop() -> None:
-        try:
-            delete(spark, path)
-        except Exception:  # the session may be gone by then
-            return
-
-    atexit.register(drop)
-    return path
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so that later steps neither repeat nor depend on what made it."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches to Python are cut by bytes too, so that a run of very long texts fits in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
