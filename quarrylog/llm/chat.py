@@ -10,6 +10,7 @@ latest earlier one, found by running maxima in two steps, so that no message is
 Nulls, ties, empty inputs: a null text is empty; messages without conv_id or turn reply to nothing; of equally good
 messages the latest is replied to; rows that repeat a conv_id and turn are messages of the same place; a message without
 quotes, or whose quotes are found nowhere, starts a thread; an empty table gives an empty result. Other columns are ignored.
+Assembled, a conversation in which no reply was found is one thread by its turns, and a message without conv_id or turn stands alone.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ MARKS = re.compile(r"^\s*((?:>\s?)+)")
 WROTE = re.compile(r"^.{0,200}\b(wrote|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 #: Turns of a conversation that one task looks back over.
 RUN = 512
+#: Rows of one place in a conversation, its turn given more than once, that still stand among the others of its thread.
+REPEATS = 16
 PARSED = "own string, quotes int, units array<struct<level:int,hash:long,length:int>>"
 
 
@@ -109,5 +112,23 @@ def conversations(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", F.coalesce("root", "turn").alias("root"), "turn", "role", F.col("own").alias("text"), "parent", F.coalesce("depth", F.lit(0)).alias("depth"), F.col("quotes").alias("n_quoted"))
 
 
+def assembled(told: DataFrame) -> DataFrame:
+    """What conversations gives -> conv_id, root, first_turn, last_turn, messages: each thread's messages in reply order, an array of turn, role, text, parent.
+
+    A message comes after the one it replies to. A thread comes in pieces of RUN turns, so that no task holds a whole long conversation: sort by conv_id,
+    root, first_turn. Of a place with more than REPEATS rows, the rows come in pieces of their own, of about RUN each.
+    """
+    rows = stash(told, "told").withColumn("row", F.monotonically_increasing_id())
+    placed = rows.where("conv_id is not null and turn is not null")
+    talks = small(stash(placed.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max(F.col("parent").isNotNull()).alias("linked")), "talks"), 200_000)
+    places = small(stash(placed.groupBy("conv_id", "turn").agg(F.count("*").alias("of")).where(F.col("of") > REPEATS), "places"), 200_000)
+    placed = placed.join(talks, "conv_id").withColumn("root", F.when(F.col("linked"), F.col("root")).otherwise(F.col("first"))).join(places, ["conv_id", "turn"], "left")
+    own = F.when(F.col("of").isNotNull(), F.struct("turn", F.pmod(F.col("row"), F.ceil(F.col("of") / RUN)).alias("slot")))
+    message = F.struct("turn", "role", "text", "parent")
+    pieces = placed.groupBy("conv_id", "root", F.floor(F.col("turn") / RUN).alias("run"), own.alias("own")).agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.array_sort(F.collect_list(message)).alias("messages"))
+    alone = rows.where("conv_id is null or turn is null").select("conv_id", "root", F.col("turn").alias("first_turn"), F.col("turn").alias("last_turn"), F.array(message).alias("messages"))
+    return pieces.select(*alone.columns).union(alone)
+
+
 def op6_chat(spark, sf_dir: str) -> DataFrame:
     return conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

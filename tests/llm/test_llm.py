@@ -322,6 +322,47 @@ def test_quotes_are_linked(spark):
     assert chat.conversations(empty(df)).count() == 0
 
 
+def test_quotes_among_the_given_conversations(spark, monkeypatch):
+    """Each given message quotes a drawn earlier one of its conversation, a third of all stand in one conversation; links and threads are known."""
+    monkeypatch.setattr(chat, "RUN", 32)
+    rng = np.random.default_rng(6)
+    given = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").where("conv_id is not null and turn is not null and text is not null")
+    own, parents, roots, rows = collections.defaultdict(list), {}, {}, []
+    for i, r in enumerate(given.orderBy("conv_id", "turn", "text").collect()):
+        conv = r["conv_id"] if r["conv_id"] % 3 else 0
+        turn = len(own[conv])
+        own[conv].append(f"{' '.join(r['text'].split())} number {i}")
+        parent = int(rng.integers(turn)) if turn and rng.random() < 0.8 else None
+        parents[conv, turn], roots[conv, turn] = parent, turn if parent is None else roots[conv, parent]
+        rows.append((conv, turn, r["role"], own[conv][turn] if parent is None else f"On Friday x wrote:\n> {own[conv][parent]}\n{own[conv][turn]}"))
+    out = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r["conv_id"], r["turn"]): r for r in out.collect()}
+    assert len(got) == len(rows) > 500 and len(own[0]) > len(rows) / 4
+    assert {k: r["parent"] for k, r in got.items()} == parents
+    assert {k: r["root"] for k, r in got.items()} == roots
+    assert all(r["text"] == own[c][t] for (c, t), r in got.items())
+    threads = collections.defaultdict(list)
+    for r in chat.assembled(out).orderBy("conv_id", "root", "first_turn").collect():
+        assert len(r["messages"]) <= 32 and (r["messages"][0]["turn"], r["messages"][-1]["turn"]) == (r["first_turn"], r["last_turn"])
+        threads[r["conv_id"], r["root"]] += [(m["turn"], m["text"]) for m in r["messages"]]
+    want, linked = collections.defaultdict(list), {c for (c, _), p in parents.items() if p is not None}
+    for (c, t), root in sorted(roots.items()):
+        want[c, root if c in linked else 0].append((t, own[c][t]))
+    assert threads == want
+
+
+def test_assembled_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RUN", 8)
+    rows = [(1, 0, "a", "Hello there"), (1, 1, "b", "no quote"), (None, 3, "a", "x"), (None, 3, "a", "x"), (2, None, "a", None), *[(1, 2, "c", "again")] * 40]
+    out = chat.assembled(chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sum(len(r["messages"]) for r in out) == len(rows)
+    assert max(len(r["messages"]) for r in out) <= 16
+    assert sorted([m["turn"] for m in r["messages"]] for r in out if r["conv_id"] == 1 and r["first_turn"] == 0) == [[0, 1]]
+    assert {r["root"] for r in out if r["conv_id"] == 1} == {0}
+    assert sum(r["conv_id"] is None for r in out) == 2 and sum(r["conv_id"] == 2 for r in out) == 1
+    assert chat.assembled(chat.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
 def test_chat_query_keeps_all_messages(spark):
     assert queries.QUERIES["op6_chat"](spark, SF).count() == spark.read.parquet(f"{SF}/conversations.parquet").count()
 
