@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylog.llm import chat, decontam, embed_dedup, langid, license_scan, mixing, ngram_join, toxicity, url_filter, warc
+from quarrylog.llm import chat, decontam, embed_dedup, langid, license_scan, mixing, ngram_join, toxicity, url_filter, warc, word_runs
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_word_runs": word_runs.op13_word_runs,
 }
 SQL = {"op1_ngram_join": ngram_join.OP1_SQL, "op4_decontaminate": decontam.OP4_SQL, "op5_embedding_dedup": embed_dedup.OP5_SQL, "op8_mixing": mixing.OP8_SQL}

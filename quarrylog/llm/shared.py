@@ -17,6 +17,12 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def packed(names: list[str]) -> tuple[Column, list[Column]]:
+    """One struct column "own" of so many columns, and the columns that take it apart again; so their names clash with none of an operator's."""
+    fields = [F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(names)]
+    return F.struct(F.lit(0).alias("c"), *fields).alias("own"), [F.col(f"own.c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; else as it is, for a shuffled join. Give it a stashed or cheap df: it is counted."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
