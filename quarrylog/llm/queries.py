@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylog.llm import chat, decontam, embed_dedup, langid, license_scan, mixing, ngram_join, token_align, toxicity, url_filter, warc, word_runs
+from quarrylog.llm import chat, decontam, embed_dedup, langid, license_scan, mixing, ngram_join, reshard, token_align, toxicity, url_filter, warc, word_runs
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_token_alignment": token_align.op11_token_alignment,
+    "op12_resharding": reshard.op12_resharding,
     "op13_word_runs": word_runs.op13_word_runs,
 }
 SQL = {"op1_ngram_join": ngram_join.OP1_SQL, "op4_decontaminate": decontam.OP4_SQL, "op5_embedding_dedup": embed_dedup.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
