@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylog.llm.shared import alnum_words, small, stash
+from quarrylog.llm.shared import alnum_words, packed, small, stash
 
 
 def starts(words: Column, n: int) -> Column:
@@ -93,7 +93,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_hit: float =
     """The rows of docs, all columns, whose share of hit words is at most most_hit."""
     key = F.xxhash64(F.coalesce(F.md5("text"), F.lit("")), "doc_id")
     judged = decontaminate(docs, benchmark, n).where(F.col("n_hit") > F.col("n_words") * most_hit).select(F.col("key").alias("_hit")).distinct()
-    return docs.join(small(stash(judged, "contaminated"), 1_000_000), key == F.col("_hit"), "left_anti")
+    own, columns = packed(docs.columns)
+    return docs.select(key.alias("_key"), own).join(small(stash(judged, "contaminated"), 1_000_000), F.col("_key") == F.col("_hit"), "left_anti").select(*columns)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

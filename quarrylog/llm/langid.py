@@ -123,7 +123,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 def train(docs: DataFrame, each: int = 2400, most: int = 48_000) -> ByteNetwork | None:
     """Fits on about each windows of every language, most in all but one at least of each; docs (doc_id, text, lang) are those it may learn from.
 
-    The labelled rows that are drawn are the windows of whole texts, all alike, so neither long texts nor their ends are left
+    The labelled rows that are drawn are distinct windows of whole texts, all alike, so neither long texts nor their ends are left
     out. They are cut and drawn by a hash of their bytes where the texts are; only drawn ones come to the driver.
     """
     rows = docs.where("doc_id is not null and lang is not null and text rlike '\\\\p{L}'").select("lang", F.encode("text", "UTF-8").alias("bytes"))
@@ -134,7 +134,10 @@ def train(docs: DataFrame, each: int = 2400, most: int = 48_000) -> ByteNetwork
         return None
     network = ByteNetwork(sorted({r["lang"] for r in drawn}))
     number = {lang: i for i, lang in enumerate(network.languages)}
-    network.fit(np.concatenate([windows(bytes(r["piece"])) for r in drawn]), np.array([number[r["lang"]] for r in drawn]))
+    x, y = np.concatenate([windows(bytes(r["piece"])) for r in drawn]), np.array([number[r["lang"]] for r in drawn])
+    n = np.bincount(y).max()
+    alike = np.concatenate([np.resize(np.flatnonzero(y == k), n) for k in number.values()])  # a language of few windows is shown as often as the others
+    network.fit(x[alike], y[alike])
     return network
 
 

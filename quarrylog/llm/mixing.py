@@ -109,15 +109,15 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, in slot order: slot, part (of the slot), source, doc_id, pass, from_word, n_words, text, where text is those words, one blank between.
 
-    A text is read once, with the list of its own pieces, and cut where it lies.
+    A text meets the list of each of its rows' pieces, which is as long as the row, and is cut where it lies; where rows repeat, Spark can split the join.
     """
     pieces, placed = mix(docs, **options)
     names = placed.where("size > 0").select("src", "start", "key", "source")
     own = F.struct("slot", "source", F.col("src"), "block", "start", "pass", "from_word", "n_words")
-    wanted = pieces.join(names, ["src", "start"]).groupBy("key").agg(F.collect_list(own).alias("own"))
+    wanted = pieces.join(names, ["src", "start"]).groupBy("key", "src", "start").agg(F.collect_list(own).alias("own"))
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").dropDuplicates(["key"])
     # words before the join: Spark would else put their making into the cut, once for each piece
-    words = texts.select("doc_id", "key", F.array_remove(F.split("text", BLANKS), "").alias("words")).join(wanted, "key")
+    words = texts.select("doc_id", "key", F.array_remove(F.split("text", BLANKS), "").alias("words")).join(wanted.select("key", "own"), "key")
     cut = F.transform("own", lambda p: F.struct(*[p[c].alias(c) for c in ("slot", "source", "src", "block", "start", "pass", "from_word", "n_words")], F.array_join(F.slice("words", (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), " ").alias("text")))
     rows = words.select("doc_id", cut.alias("cut")).select("doc_id", F.explode_outer("cut").alias("p"))
     rows = rows.select("p.slot", F.struct("p.pass", "p.start").alias("part"), "p.source", "doc_id", "p.pass", "p.from_word", "p.n_words", "p.text")

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylog.llm import shared
 from quarrylog.llm.shared import bounded_batches, components, small, stash
 
 WIDTH = 5
@@ -356,14 +357,14 @@ def without_copies(docs: DataFrame) -> DataFrame:
     best = found.groupBy("root").agg(F.min(order).alias("best"))
     rows = found.groupBy("doc_id", "key", "root").agg(F.count("*").alias("n"), F.min("sid").alias("sid")).join(best, "root").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "n", (order == F.col("best")).alias("stays"))
     rows = stash(rows, "group-rows")
-    same = (F.col("_own") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
-    kept = docs.withColumn("_own", key_of()).join(small(rows.where("not stays").select("_doc", "_key"), 1_000_000), same, "left_anti")
+    same = (F.col("_own") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_doc"))
+    own, columns = shared.packed(docs.columns)
+    kept = docs.select(key_of().alias("_own"), F.col("doc_id").cast("long").alias("_id"), own).join(small(rows.where("not stays").select("_doc", "_key"), 1_000_000), same, "left_anti")
     again = small(stash(rows.where("stays and n > 1").select("_doc", "_key"), "group-repeats"), 1_000_000)
     if not again.limit(1).count():
-        return kept.select(*docs.columns)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = kept.join(again, same, "left_semi").groupBy("doc_id", "_own").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
-    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(one)
+        return kept.select(*columns)
+    one = kept.join(again, same, "left_semi").groupBy("_id", "_own").agg(F.min_by("own", F.to_json("own")).alias("own"))
+    return kept.join(again, same, "left_anti").select("own").unionByName(one.select("own")).select(*columns)
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

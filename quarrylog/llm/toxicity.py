@@ -169,7 +169,11 @@ def fit(words: list[bytes], texts: list[np.ndarray], y: np.ndarray, passes: int
     n, owner = len(words), np.repeat(np.arange(len(whole)), whole)
     held = [Counter(), Counter()]
     for own, h in zip((~toxic, toxic), held, strict=True):
-        places = np.unique((before[own] * n + flat[own]) * n + after[own]) // n % n
+        around = before[own] * n + after[own]
+        if n**3 >= 1 << 63:  # so many words that triples of them don't fit in 64 bits: the neighbours get numbers
+            around = np.unique(around, return_inverse=True)[1]
+        beside = int(around.max(initial=0)) + 1
+        places = np.unique(flat[own] * beside + around) // beside
         holders = np.unique(owner[own] * n + flat[own]) % n
         c = np.minimum(np.bincount(places, minlength=n), np.bincount(holders, minlength=n))
         for i in np.flatnonzero(c):
