@@ -128,6 +128,24 @@ def mask_email(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").where(F.col("text").contains("@")).select("doc_id", F.regexp_replace("text", V.EMAIL, "$1****$2").alias("masked"))
 
 
+def twice(text: str, pattern: str, by: str) -> str:
+    """SQL that replaces a pattern between two others, which may be shared by neighbours."""
+    one = lambda t: f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
+    return one(one(text))
+
+
+MASKED = twice("text", r"(^|[^0-9a-fA-F-])(1[3-9]\d)\d{4}(\d{4})($|[^0-9a-fA-F-])", r"\1\2****\3\4")
+MASKED = twice(MASKED, r"(^|[^0-9])(\d{6})\d{8}(\d{3}[0-9Xx])($|[^0-9])", r"\1\2********\3\4")
+MASKED = f"regexp_replace({MASKED}, '([a-zA-Z0-9._%+-]{{1,3}})[a-zA-Z0-9._%+-]*(@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}})', '\\1****\\2', 'g')"
+MASKED = twice(MASKED, r"(^|[^0-9a-fA-F-])(\d{4})\d{8,11}(\d{4})($|[^0-9a-fA-F-])", r"\1\2********\3\4")
+
+
+@query("mask_formats", f"select doc_id, {MASKED} as masked from documents")
+def mask_formats(spark, sf_dir):
+    """Phones, identity cards, addresses and cards by their form, in all texts."""
+    return T.table(spark, sf_dir, "documents").select("doc_id", X.mask_formats(F.col("text")).alias("masked"))
+
+
 @query("mask_sensitive")
 def mask_sensitive(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", X.mask_sensitive(F.col("text")).alias("masked"))

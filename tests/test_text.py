@@ -94,3 +94,25 @@ def test_results_of_a_model(spark):
     assert (a[0]["severity"], a[0]["signals"], a[0]["confidence"]) == ("error", ["timeout"], 0.5)
     assert b is None or b == []
     assert c == []
+
+
+def test_addresses_as_with_the_plain_pattern(spark):
+    """Runs are read once, and matches that follow each other are found as before."""
+    import random
+
+    plain = r"([a-zA-Z0-9._%+-]{1,3})[a-zA-Z0-9._%+-]*(@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,})".replace("\\\\", "\\")
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["a", "b", "x.co", "@", ".", "-", " ", "ab.cde", "é", "1"]) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    same = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_replace("t", plain, "<$1****$2>").alias("a"), F.regexp_replace("t", X.V.EMAIL, "<$1****$2>").alias("b"))
+    assert same.where("a <> b").count() == 0 and same.where("contains(a, '<')").count() > 300
+
+
+def test_long_runs_are_masked_in_linear_time(spark):
+    import time
+
+    rows = spark.createDataFrame([("a" * 1_000_000 + " x@y.zz ",), ("7" * 1_000_000,), ("@" + "b" * 1_000_000,)], "t string")
+    rows.select(X.mask_formats(F.col("t"))).collect()
+    began = time.time()
+    got = [r[0] for r in rows.select(X.mask_formats(F.col("t"))).collect()]
+    assert time.time() - began < 5 and got[0].endswith("x****@y.zz ") and got[1] == "7" * 1_000_000
+
