@@ -90,14 +90,6 @@ def acknowledge(alerts: DataFrame, updates: DataFrame) -> DataFrame:
     return out.withColumns(cols).drop("to", "at")
 
 
-def webhook_payload(url: Column, text: Column) -> Column:
-    """The JSON body that a chat service expects, chosen by its address."""
-    markdown = F.to_json(F.struct(F.lit("markdown").alias("msgtype"), F.struct(text.alias("content")).alias("markdown")))
-    titled = F.to_json(F.struct(F.lit("markdown").alias("msgtype"), F.struct(F.lit("Alert").alias("title"), text.alias("text")).alias("markdown")))
-    plain = F.to_json(F.struct(F.lit("text").alias("msg_type"), F.struct(text.alias("text")).alias("content")))
-    return F.when(url.contains("qyapi.weixin"), markdown).when(url.contains("dingtalk"), titled).when(url.contains("feishu"), plain).otherwise(F.to_json(F.struct(text.alias("text"))))
-
-
 def token_cost(tokens: Column, price_per_thousand: Column) -> Column:
     return tokens / 1000 * price_per_thousand
 

@@ -1,12 +1,16 @@
 """Streams with keyed state against the same in batch."""
 
 import datetime
+import http.server
+import json
+import os
 import random
+import threading
 
 from pyspark.sql import functions as F
 
 from quarrylog.operators import timeseries
-from quarrylog.streaming import stateful
+from quarrylog.streaming import stateful, webhooks
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -72,3 +76,73 @@ def test_first_sightings_in_one_batch_equal_windows(spark, tmp_path):
     marked = spark.createDataFrame(rows, schema).withColumn("fingerprint", stateful.X.fingerprint(F.col("service").cast("string"), F.col("message")))
     want = timeseries.first_in_window(marked, 7200, "fingerprint").collect()
     assert sorted((r["fingerprint"], r["ts"]) for r in got) == sorted((r["fingerprint"], r["opened"]) for r in want)
+
+
+class Receiver(http.server.BaseHTTPRequestHandler):
+    """Keeps what is posted; answers by path."""
+
+    got: list = []
+
+    def do_POST(self):  # noqa: N802
+        body = self.rfile.read(int(self.headers["Content-Length"]))
+        Receiver.got.append((self.path, self.headers["Idempotency-Key"], json.loads(body)))
+        if "broken" in self.path:
+            self.send_error(500)
+            return
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(b'{"errcode": 93000}' if "refused" in self.path else b'{"errcode": 0}')
+
+    def log_message(self, *args):
+        pass
+
+
+def test_a_replayed_batch_sends_nothing_twice(spark, tmp_path):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Receiver)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    rows = [(i, f"{base}/{kind}", f"text {i}") for i, kind in enumerate(["dingtalk", "feishu", "qyapi.weixin", "other", "refused", "broken", "other"])]
+    rows += [(6, f"{base}/other", "text 6"), (7, None, "no address"), (8, "", "none either"), (9, "http://127.0.0.1:1/nobody", "x")]
+    ledger = str(tmp_path / "ledger")
+    deliver = webhooks.sink(ledger)
+    batch = spark.createDataFrame(rows, "alert_id long, url string, text string")
+    try:
+        deliver(batch, 0)
+        assert len(Receiver.got) == 7
+        first = {r["alert_id"]: r["ok"] for r in webhooks.sent(spark, ledger).collect()}
+        assert first == {str(i): i not in (4, 5, 9) for i in (*range(7), 9)}
+        deliver(batch, 0)  # the stream starts anew before it has noted the batch
+        assert len(Receiver.got) == 7
+        os.remove(f"{ledger}/batch=0/_done")  # or stopped before the batch was whole
+        os.remove(f"{ledger}/batch=0/{Receiver.got[0][1]}.json")
+        deliver(batch, 0)
+        assert len(Receiver.got) == 8 and Receiver.got[7] in Receiver.got[:7]
+        deliver(batch.limit(1), 1)  # another batch is sent again
+        assert len(Receiver.got) == 9
+        bodies = {path: body for path, _, body in Receiver.got}
+        assert bodies["/dingtalk"]["markdown"] == {"title": "告警通知", "text": "text 0"} and bodies["/feishu"] == {"msg_type": "text", "content": {"text": "text 1"}}
+        assert bodies["/qyapi.weixin"] == {"msgtype": "markdown", "markdown": {"content": "text 2"}} and bodies["/refused"]["msgtype"] == "markdown"
+    finally:
+        server.shutdown()
+
+
+def test_a_stream_of_alerts_is_sent_once(spark, tmp_path):
+    calls, ledger, checkpoint = str(tmp_path / "calls"), str(tmp_path / "ledger"), str(tmp_path / "state")
+    os.mkdir(calls)
+
+    def send(url, body, key):
+        open(f"{calls}/{key}-{os.urandom(4).hex()}", "w").close()
+        return True, body
+
+    schema = "alert_id long, url string, text string"
+    batches = [[(i, "https://x/wecom", f"t{i}")] for i in range(3)]
+    stream = stream_of(spark, str(tmp_path / "in"), schema, batches)
+    run = lambda: stateful.to_batches(stream, webhooks.sink(ledger, send), checkpoint, every=None).start().awaitTermination()
+    run()
+    assert len(os.listdir(calls)) == 3
+    last = max(int(x) for x in os.listdir(f"{checkpoint}/commits") if x.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{checkpoint}/commits/{name}"):
+            os.remove(f"{checkpoint}/commits/{name}")  # the stream stopped after sending, before its commit
+    run()
+    assert len(os.listdir(calls)) == 3
