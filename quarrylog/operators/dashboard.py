@@ -118,3 +118,23 @@ def health(components: DataFrame) -> DataFrame:
     """components (name, status): down if the database or log store is down, degraded if anything isn't ok, else ok."""
     vital = F.max(F.col("name").isin("database", "logs") & (F.col("status") == "down"))
     return components.agg(F.when(vital, "down").when(F.max(F.col("status") != "ok"), "degraded").otherwise("ok").alias("status"))
+
+
+def tenant_digest(tasks: DataFrame, results: DataFrame, previews: int = 5, preview_chars: int = 150) -> DataFrame:
+    """tenant_id, line_id (null: the tenant's row), measures, rates, critical and preview, for tenants with any task.
+
+    Tenants and their lines come from one pass over the tasks by grouping sets. critical counts results that are critical or errors; preview lists the first of them by id and text, cut: each
+    task keeps that many for a key before the shuffle, so no list grows with the data.
+    """
+    sums = tasks.groupingSets([["tenant_id", "line_id"], ["tenant_id"]], "tenant_id", "line_id").agg(*measures(), *[when_count(c).alias(k) for k, c in skip_kinds().items()], F.grouping_id().alias("level"))
+    bad = results.where("severity in ('critical', 'error')").join(tasks.select("task_id", "tenant_id", "line_id"), "task_id")
+    levels = F.explode(F.array(F.struct(F.col("line_id").alias("own"), F.lit(0).cast("long").alias("level")), F.struct(F.lit(None).cast(tasks.schema["line_id"].dataType).alias("own"), F.lit(1).cast("long").alias("level"))))
+    bad = bad.select("tenant_id", "result_id", F.upper("severity").alias("severity"), F.substring(F.coalesce("content", F.lit("")), 1, preview_chars).alias("content"), levels.alias("l")).select("*", "l.own", "l.level").drop("l")
+    counts = bad.groupBy("tenant_id", "own", "level").agg(F.count("*").alias("critical"))
+    text = F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("content"))
+    first = F.row_number().over(Window.partitionBy("tenant_id", "own", "level").orderBy("result_id", text))
+    shown = bad.withColumn("place", first).where(F.col("place") <= previews).groupBy("tenant_id", "own", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda s: s["t"]), "\n").alias("preview"))
+    key = (F.col("s.tenant_id") == F.col("c.tenant_id")) & F.col("s.line_id").eqNullSafe(F.col("c.own")) & (F.col("s.level") == F.col("c.level"))
+    both = sums.alias("s").join(counts.join(shown.withColumnRenamed("own", "own2").withColumnsRenamed({"tenant_id": "tenant2", "level": "level2"}), (F.col("tenant_id") == F.col("tenant2")) & F.col("own").eqNullSafe(F.col("own2")) & (F.col("level") == F.col("level2"))).alias("c"), key, "left")
+    share = lambda part: F.round(100.0 * F.col(part) / F.col("total"), 1)
+    return both.select("s.*", F.coalesce("c.critical", F.lit(0)).alias("critical"), "c.preview").withColumns({"skip_rate": share("quality_filtered"), "success_rate": share("completed"), "tokens_per_task": F.floor(F.col("tokens") / F.greatest("completed", F.lit(1)))}).drop("level")

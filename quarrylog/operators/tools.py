@@ -61,3 +61,20 @@ def related(upstream, downstream, most: int = 6):
     """Arrays of services above and below -> the first of both in order, with their direction; one that is in both is upstream."""
     direction = lambda s: F.when(F.array_contains(upstream, s), "upstream").otherwise("downstream")
     return F.transform(F.slice(F.concat(upstream, downstream), 1, most), lambda s: F.struct(s.alias("service"), direction(s).alias("direction")))
+
+
+def other_indices(catalog: DataFrame, patterns: DataFrame, service: str | None = None, most: int = 5, hidden: tuple[str, ...] = (".",)) -> DataFrame:
+    """catalog (name) and a line's own patterns (pattern, with stars) -> name, in order: the first indices of other lines whose names hold a text, without hidden ones.
+
+    A name is excluded if it starts with a pattern's text without stars. Each name is looked up by all its prefixes, so that the exclusion is an equi-join,
+    not a comparison of each name with each pattern.
+    """
+    bases = patterns.select(F.explode(F.split("pattern", ",")).alias("p")).select(F.replace(F.trim("p"), F.lit("*"), F.lit("")).alias("prefix")).where("prefix <> ''").distinct()
+    shown = catalog.select("name").distinct()
+    for mark in hidden:
+        shown = shown.where(~F.col("name").startswith(mark))
+    if service is not None:
+        shown = shown.where(F.lower("name").contains(service.lower()))
+    starts = shown.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("name")), lambda n: F.left("name", n))).alias("prefix"))
+    own = starts.join(bases, "prefix").select("name").distinct()
+    return shown.where("name <> ''").join(own, "name", "left_anti").orderBy("name").limit(most)

@@ -1,6 +1,6 @@
 import pytest
 
-from quarrylog.plans import findings, history, rankings, registry, texts, timelines  # noqa: F401
+from quarrylog.plans import findings, history, operations, rankings, registry, texts, timelines  # noqa: F401
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"
