@@ -25,11 +25,17 @@ PIVOTS, RING, BLOCK, ASKED, SLACK = 512, 0.1, 8192, 8192, 1e-6
 
 
 def pivots_of(library: DataFrame, n: int) -> np.ndarray:
-    """Some sqrt(n) vectors drawn by a hash of their ids, PIVOTS at most, without repeats: they only decide how much is pruned."""
+    """Some sqrt(n) vectors, PIVOTS at most, each the farthest from those before among eight times as many drawn by a hash of their ids: they only decide how much is pruned."""
     most = max(1, min(PIVOTS, math.isqrt(n)))
-    drawn = library.where("v is not null").select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(most).toArrow()["v"].combine_chunks()
-    length = max((len(v) for v in drawn.to_pylist()), default=0)
-    return np.unique(vector.units(drawn, length)[1], axis=0) if length else np.zeros((0, 0))
+    drawn = library.where("v is not null").select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(8 * most).toArrow()["v"].combine_chunks()
+    sizes = [len(v) for v in drawn.to_pylist()]
+    length = max(set(sizes), key=sizes.count, default=0)
+    rows = vector.units(drawn, length)[1] if length else np.zeros((0, 0))
+    chosen, far = [], np.full(len(rows), np.inf)
+    while len(chosen) < most and len(rows) and far.max() > SLACK:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, distances(rows, rows[chosen[-1:]])[:, 0])
+    return rows[chosen]
 
 
 def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
