@@ -1,15 +1,14 @@
 """Adaptive sampling of a task's logs by severity and diversity.
 
-A task's rows are reduced before any sequential step: within each severity and group the newest budget rows can be
-taken at most, as the budget bounds the sample. What is left of a task goes to one grouped function, which deals
-slots to severities and takes rows from their groups in turn, skipping messages taken before.
+Slots are dealt to severities by windows over their sizes, a row for each. Rows are taken from groups in turns, one of each group, the newest first; a turn is a
+row's place in its group, and each round that adds something takes a slot at least, so the newest budget rows of a group suffice and no task sorts more for a
+key than Spark's group limit lets through. Of messages that repeat the first in order counts; what is left is ranked by turn and its group's newest row.
 """
 
 from __future__ import annotations
 
-import math
+from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,54 +30,44 @@ def adaptive_budget(n: Column, groups: Column, taken: Column, default: int = DEF
     return F.when(n <= default, n).when(groups.isNull() | taken.isNull(), default).otherwise(adapted)
 
 
-def allocate(sizes: dict[str, int], budget: int) -> dict[str, int]:
-    """Slots by severity: the least numbers, then shares by weight * log2(unfilled + 1), the rest where weight * size is largest."""
-    slots = {s: min(V.SAMPLE_LEAST.get(s, 0), n) for s, n in sizes.items()}
-    left = budget - sum(slots.values())
-    if left > 0:
-        scores = {s: V.SAMPLE_WEIGHT.get(s, 1.0) * math.log2(sizes[s] - slots[s] + 1) for s in sizes if sizes[s] > slots[s]}
-        total = sum(scores.values())
-        for s, x in scores.items():
-            slots[s] += min(int(left * x / total), sizes[s] - slots[s])
-        for s in sorted(sizes, key=lambda s: (-V.SAMPLE_WEIGHT.get(s, 1.0) * sizes[s], s)):
-            slots[s] += max(0, min(budget - sum(slots.values()), sizes[s] - slots[s]))
-    return slots
-
-
-def take(rows: pd.DataFrame, slots: int) -> list[int]:
-    """Row labels: from each group in turn its newest row whose message wasn't taken; ends with the first round that adds none."""
-    if rows["of_severity"].iloc[0] <= slots:
-        return list(rows.index)
-    groups = [list(g.index) for _, g in rows.sort_values(["ts", "log_id"], ascending=False).groupby("group", sort=False)]
-    hashes, taken, at = set(), [], 0
-    while len(taken) < slots:
-        before = len(taken)
-        for g in groups:
-            if at < len(g) and len(taken) < slots and (h := rows.at[g[at], "hash"]) not in hashes:
-                hashes.add(h)
-                taken.append(g[at])
-        at += 1
-        if len(taken) == before:
-            break
-    return taken
-
-
-def sample(logs: DataFrame, budget: int, *keys: str) -> DataFrame:
-    """logs (keys, log_id, ts, level, message) -> keys, log_id, severity, group: budget rows of each task, all of it if it has no more."""
+def slots(sizes: DataFrame, budget: int, *keys: str) -> DataFrame:
+    """sizes (keys, severity, n) with slots: all if a task has no more than the budget; else least numbers, then shares by weight * log2(unfilled + 1), the rest where weight * n is largest."""
+    table = lambda values: F.create_map(*map(F.lit, chain(*values.items())))
+    task = Window.partitionBy(*keys)
+    largest_first = task.orderBy(F.desc(F.col("weight") * F.col("n")), "severity").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sizes.withColumns({"least": F.least("n", F.coalesce(F.try_element_at(table(V.SAMPLE_LEAST), F.col("severity")), F.lit(0))), "weight": F.coalesce(F.try_element_at(table(V.SAMPLE_WEIGHT), F.col("severity")), F.lit(1.0))})
+    rows = rows.withColumns({"left": budget - F.sum("least").over(task), "score": F.col("weight") * F.log2(F.col("n") - F.col("least") + 1), "all": F.sum("n").over(task)})
+    share = F.floor(F.col("left") * (F.col("score") / F.nullif(F.sum("score").over(task), F.lit(0.0))))
+    rows = rows.withColumn("some", F.col("least") + F.when(F.col("left") > 0, F.least(F.coalesce(share, F.lit(0)), F.col("n") - F.col("least"))).otherwise(0))
+    rows = rows.withColumns({"rest": budget - F.sum("some").over(task), "open": F.col("n") - F.col("some")})
+    rows = rows.withColumn("before", F.coalesce(F.sum("open").over(largest_first), F.lit(0)))
+    more = F.greatest(F.lit(0), F.least("open", F.col("rest") - F.col("before")))
+    return rows.select(*keys, "severity", "n", F.when(F.col("all") <= budget, F.col("n")).otherwise(F.col("some") + more).alias("slots"))
+
+
+def extracted(document: Column, source: Column, paths: dict[str, tuple[str, str]]) -> tuple[Column, Column]:
+    """(level, message) of VARIANT documents of several shapes: for each source, where these lie in its documents."""
+    pick = lambda i: F.coalesce(*[F.when(source == name, F.try_variant_get(document, p[i], "string")) for name, p in paths.items()])
+    return pick(0), pick(1)
+
+
+def sample(logs: DataFrame, budget: int, *keys: str, level: Column | None = None, message: Column | None = None) -> DataFrame:
+    """logs (keys, log_id, ts) -> keys, log_id, severity, group: budget rows of each task, all of it if it has no more. level and message are columns of the logs, or made of them."""
     budget = clamp_budget(budget)
-    rows = logs.select(*keys, "log_id", "ts", F.coalesce(F.upper("level"), F.lit("UNKNOWN")).alias("severity"), X.group_key(F.col("message")).alias("group"), F.md5(F.substring("message", 1, 500)).alias("hash"))
-    sizes = rows.groupBy(*keys, "severity").agg(F.count("*").alias("of_severity"))
-    newest = Window.partitionBy(*keys, "severity", "group").orderBy(F.desc("ts"), F.desc("log_id"))
-    rows = rows.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= budget)
-    # a group's first row alone is taken in the first round: beyond budget groups no group is reached
-    groups = Window.partitionBy(*keys, "severity").orderBy("place", F.desc("ts"), F.desc("log_id"))
-    rows = rows.withColumn("turn", F.row_number().over(groups)).where(F.col("turn") <= budget * budget).join(sizes, [*keys, "severity"])
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = pdf.groupby("severity")["of_severity"].first().to_dict()
-        slots = {s: n for s, n in size.items()} if sum(size.values()) <= budget else allocate(size, budget)
-        chosen = [i for s, g in pdf.groupby("severity") if slots[s] for i in take(g, slots[s])]
-        return pdf.loc[chosen, [*keys, "log_id", "severity", "group"]]
-
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(draw, f"{kinds}, log_id long, severity string, group string")
+    level, message = (F.col(name) if given is None else given for name, given in (("level", level), ("message", message)))
+    rows = logs.select(*keys, "log_id", "ts", F.coalesce(F.upper(level), F.lit("UNKNOWN")).alias("severity"), message.alias("message"))
+    rows = rows.select(*keys, "log_id", "ts", "severity", X.group_key(F.col("message")).alias("group"), F.md5(F.substring("message", 1, 500)).alias("hash"))
+    share = slots(rows.groupBy(*keys, "severity").agg(F.count("*").alias("n")), budget, *keys)
+    bucket, out = [*keys, "severity"], [*keys, "log_id", "severity", "group"]
+    whole = rows.join(share.where("n <= slots").drop("n", "slots"), bucket).select(*out)
+    newest = Window.partitionBy(*bucket, "group").orderBy(F.desc("ts"), F.desc("log_id"))
+    turns = rows.withColumns({"turn": F.row_number().over(newest), "first_ts": F.first("ts").over(newest), "first_id": F.first("log_id").over(newest)}).where(F.col("turn") <= budget)
+    turns = turns.join(share.where("n > slots").drop("n"), bucket)
+    order = F.struct("turn", (-F.unix_micros(F.col("first_ts").cast("timestamp"))).alias("t"), (-F.col("first_id")).alias("i"))
+    fresh = turns.groupBy(*bucket, F.coalesce("hash", F.lit("")).alias("hash")).agg(F.min_by(F.struct("log_id", "group", "slots", order.alias("order")), order).alias("r")).select(*bucket, "r.*")
+    taken = Window.partitionBy(*bucket).orderBy("order")
+    ranked = fresh.withColumn("rank", F.row_number().over(taken)).where(F.col("rank") <= budget)
+    # a round that adds nothing ends it: turns must follow each other without a gap
+    rounds = Window.partitionBy(*bucket).orderBy(F.col("order.turn"))
+    ranked = ranked.withColumn("round", F.dense_rank().over(rounds)).where((F.col("order.turn") == F.col("round")) & (F.col("rank") <= F.col("slots")))
+    return whole.unionByName(ranked.select(*out))

@@ -226,11 +226,38 @@ def issue_state_update(spark, sf_dir):
     return U.hit_issues(issues, e.where("event_type = 'error'").select(F.col("user_id").alias("id"), "ts"))
 
 
-@query("adaptive_sample")
+GROUP_KEY = "coalesce(nullif(regexp_extract(message, '([\\w.]+(?:Exception|Error|Throwable|Fault))', 1), ''), substr(regexp_replace(regexp_replace(substr(string_split(message, chr(10))[1], 1, 120), '\\b[0-9a-f]{8,}[-0-9a-f]*\\b', '<ID>', 'g'), '\\d+', '<N>', 'g'), 1, 80))"
+#: The sampler in SQL, over a view src (task, log_id, ts, level, message): slots by least numbers, weighted logarithms and the rest; then turns through groups.
+SAMPLE = """, l as (select task, log_id, ts, coalesce(upper(level), 'UNKNOWN') as severity, {key} as grp, md5(substr(message, 1, 500)) as h from src),
+n as (select task, severity, count(*) as n, case severity when 'CRITICAL' then 10 when 'FATAL' then 10 when 'ERROR' then 5 when 'WARN' then 2 when 'WARNING' then 2 else 0 end as least0,
+ case severity when 'CRITICAL' then 5.0 when 'FATAL' then 5.0 when 'ERROR' then 3.0 when 'WARN' then 1.5 when 'WARNING' then 1.5 when 'INFO' then 0.5 when 'DEBUG' then 0.2 when 'TRACE' then 0.1 else 1.0 end::double as w from l group by 1, 2),
+a as (select *, least(n, least0) as s0, sum(n) over t as everything, {budget} - sum(least(n, least0)) over t as remaining, w * log2(n - least(n, least0) + 1) as score from n window t as (partition by task)),
+b as (select *, s0 + case when remaining > 0 then least(coalesce(floor(remaining * (score / nullif(sum(score) over (partition by task), 0)))::bigint, 0), n - s0) else 0 end as s1 from a),
+c as (select *, {budget} - sum(s1) over (partition by task) as rest, coalesce(sum(n - s1) over (partition by task order by w * n desc, severity rows between unbounded preceding and 1 preceding), 0) as before from b),
+k as (select task, severity, n, case when everything <= {budget} then n else s1 + greatest(0, least(n - s1, rest - before)) end as slots from c),
+p as (select l.*, slots, n, row_number() over w as turn, first_value(ts) over w as ft, first_value(log_id) over w as fi from l join k using (task, severity) window w as (partition by task, severity, grp order by ts desc, log_id desc)),
+o as (select *, row_number() over (partition by task, severity, h order by turn, ft desc, fi desc) as again from p where n > slots),
+f as (select *, row_number() over (partition by task, severity order by turn, ft desc, fi desc) as place, dense_rank() over (partition by task, severity order by turn) as round from o where again = 1)
+select task, log_id, severity, grp from p where n <= slots union all select task, log_id, severity, grp from f where place <= slots and turn = round"""
+
+
+@query("adaptive_sample", f"with {LOGS}, src as (select service as task, log_id, ts, level, message from logs)" + SAMPLE.format(key=GROUP_KEY, budget=200).replace("select task, log_id, severity, grp", 'select task as service, log_id, severity, grp as "group"'))
 def adaptive_sample(spark, sf_dir):
     return sampling.sample(T.logs(spark, sf_dir), 200, "service")
 
 
+@query("adaptive_sample_sources", f"with {LOGS}, src as (select event_type as task, log_id, ts, level, message from logs)" + SAMPLE.format(key=GROUP_KEY, budget=60).replace("select task, log_id, severity, grp", 'select task, log_id, severity, grp as "group"'))
+def adaptive_sample_sources(spark, sf_dir):
+    """Two sources whose documents have other shapes, sampled by one call: levels and messages lie elsewhere in each."""
+    rows = T.logs(spark, sf_dir)
+    flat = F.to_json(F.struct("level", F.col("message").alias("msg")))
+    deep = F.to_json(F.struct(F.struct(F.col("level").alias("severity"), F.array(F.struct(F.col("message").alias("text"))).alias("lines")).alias("log")))
+    source = F.when(F.col("service") % 2 == 0, "flat").otherwise("deep")
+    docs = rows.select(F.col("event_type").alias("task"), "log_id", "ts", source.alias("source"), F.parse_json(F.when(F.col("service") % 2 == 0, flat).otherwise(deep)).alias("document"))
+    level, message = sampling.extracted(F.col("document"), F.col("source"), {"flat": ("$.level", "$.msg"), "deep": ("$.log.severity", "$.log.lines[0].text")})
+    return sampling.sample(docs, 60, "task", level=level, message=message)
+
+
 @query("format_lines", f"with {LOGS} select log_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || level || '] [service:' || service || '] ' || string_split(message, chr(10))[1] as line from logs")
 def format_lines(spark, sf_dir):
     rows = T.logs(spark, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylog.operators import dedup, prefixes, sampling, timeseries, tools, vector
 from quarrylog.streaming import stateful
+from tests import sampling_brute
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -66,7 +67,7 @@ def test_halving(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.sampled_from(["CRITICAL", "ERROR", "WARN", "INFO", "DEBUG", "UNKNOWN"]), st.integers(1, 500), min_size=1), st.integers(30, 300))
 def test_slots_fill_the_budget(sizes, budget):
-    slots = sampling.allocate(sizes, budget)
+    slots = sampling_brute.allocate(sizes, budget)
     assert all(0 <= slots[s] <= n for s, n in sizes.items())
     assert sum(slots.values()) == min(budget, sum(sizes.values()))
 
@@ -88,6 +89,35 @@ def test_sample_is_diverse(spark):
     assert len({r["group"] for r in out}) >= 15
 
 
+def test_sample_equals_step_by_step(spark):
+    """Random tasks of all kinds: one hot group, messages that repeat within a group and across groups, rounds that add nothing, few and many severities."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(12):
+        levels = ["CRITICAL", "error", "WARN", "INFO", None, "odd"][: rng.integers(1, 7)]
+        for i in range(int(rng.choice([15, 60, 150, 400]))):
+            kind = rng.integers(0, 4)
+            message = [f"x.E{rng.integers(3)}Exception: {rng.integers(4)}", f"plain {'abcdefgh'[rng.integers(8)]} text", "the same", f"x.HotError: {i}"][kind]
+            rows.append((k, k * 1000 + i, START + datetime.timedelta(seconds=int(rng.integers(0, 50))), levels[rng.integers(len(levels))], message))
+    logs = spark.createDataFrame(rows, KINDS)
+    keyed = logs.select("k", "log_id", "ts", F.coalesce(F.upper("level"), F.lit("UNKNOWN")).alias("s"), sampling.X.group_key(F.col("message")).alias("g"), F.md5("message").alias("h")).collect()
+    for budget in (20, 50, 120):
+        got = {(r["k"], r["log_id"]) for r in sampling.sample(logs, budget, "k").collect()}
+        want = {(k, i) for k in range(12) for i in sampling_brute.draw([tuple(r)[1:] for r in keyed if r["k"] == k], budget)}
+        assert got == want
+
+
+def test_slots_equal_step_by_step(spark):
+    rng = np.random.default_rng(8)
+    names = ["CRITICAL", "FATAL", "ERROR", "WARN", "WARNING", "INFO", "DEBUG", "TRACE", "UNKNOWN", "OTHER"]
+    sizes = {k: {s: int(rng.integers(1, 400)) for s in names if rng.random() < 0.5} for k in range(200)}
+    for budget in (20, 150):
+        rows = spark.createDataFrame([(k, s, n) for k, x in sizes.items() for s, n in x.items()], "k int, severity string, n long")
+        got = {(r["k"], r["severity"]): r["slots"] for r in sampling.slots(rows, budget, "k").collect()}
+        want = {(k, s): m for k, x in sizes.items() for s, m in (x if sum(x.values()) <= budget else sampling_brute.allocate(x, budget)).items()}
+        assert got == want
+
+
 def test_small_tasks_are_taken_whole(spark):
     rows = [(k, i, START, None, "same") for k in (1, 2) for i in range(12)]
     assert sampling.sample(spark.createDataFrame(rows, KINDS), 50, "k").count() == 24
