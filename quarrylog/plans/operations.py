@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylog.operators import dashboard, pruned, tools
 from quarrylog.plans.registry import CALLS, IDLE, LINES, LOGS, MEASURES, RESULTS, SKIPS, TASKS, query  # noqa: F401
+from quarrylog.sources import scratch, snapshots
 from quarrylog.sources import tables as T
 from quarrylog.streaming import webhooks
 
@@ -83,3 +84,22 @@ def other_indices(spark, sf_dir):
     name = F.concat(F.when(F.col("service") == 5, ".sys-").otherwise("app-"), F.col("service").cast("string"), F.lit("-"), F.date_format("ts", "yyyy.MM.dd"))
     own = spark.createDataFrame([("app-0-*, app-1-2024.01.0*",), ("app-2*",), ("*",)], "pattern string")
     return tools.other_indices(rows.select(name.alias("name")), own, "2024.01", 50)
+
+
+@query(
+    "tenant_snapshot",
+    f"""with {TASKS}, t as (select task_id as id, line_id % 3 as tenant_id, case when line_id % 3 = 1 and minutes = 2 then 'failed' else status end as status, case when line_id % 3 = 1 and minutes = 2 then null else tokens end as tokens, minutes from tasks)
+    select id, tenant_id::varchar as tenant_id, status, tokens from t where not (tenant_id = 1 and minutes = 3) union all select task_id + 1000000000, '2', 'pending', tokens from tasks where line_id % 3 = 0 and minutes = 1""",
+)
+def tenant_snapshot(spark, sf_dir):
+    """A tenant's tasks are corrected and removed, another's added; of updates for rows of other tenants nothing is left."""
+    tasks = T.tasks(spark, sf_dir)
+    folder = scratch.scratch(spark, "tenants")
+    rows = tasks.select(F.col("task_id").alias("id"), (F.col("line_id") % 3).alias("tenant_id"), "status", "tokens")
+    snapshots.create(rows, folder)
+    marked = tasks.select(F.col("task_id").alias("id"), "minutes")
+    fixed = marked.where("minutes = 2").select("id", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("tokens"))
+    snapshots.change(spark, folder, "1", updates=fixed, deletes=marked.where("minutes = 3"))
+    new = tasks.where("line_id % 3 = 0 and minutes = 1").select((F.col("task_id") + 1_000_000_000).alias("id"), F.lit("pending").alias("status"), "tokens")
+    snapshots.change(spark, folder, "2", inserts=new)
+    return snapshots.read(spark, folder)
