@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,13 +69,3 @@ def sample_metrics(sample: DataFrame, *keys: str) -> DataFrame:
     """Rows, distinct groups, time span in seconds and severities of a sample."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     return sample.groupBy(*keys).agg(F.count("*").alias("rows"), F.countDistinct("group").alias("groups"), F.floor((F.max(at) - F.min(at)) / 1_000_000).alias("span_seconds"), F.countDistinct("severity").alias("severities"))
-
-
-def first_available(*candidates: Column) -> Column:
-    """Failover: the first candidate, in order of priority, that gave something."""
-    return F.coalesce(*candidates)
-
-
-def run_stages(df: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Stages as functions of DataFrames, one plan for all of them."""
-    return reduce(lambda d, s: d.transform(s), stages, df)
