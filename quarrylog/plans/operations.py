@@ -6,8 +6,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from quarrylog.operators import dashboard, pruned, tools
-from quarrylog.plans.registry import CALLS, IDLE, LINES, LOGS, MEASURES, RESULTS, SKIPS, TASKS, query  # noqa: F401
+from quarrylog.functions import text as X
+from quarrylog.operators import agent_sql, alerts, dashboard, dedup, priority, pruned, reports, search, stages, timeseries, tools
+from quarrylog.plans.registry import LOGS, MEASURES, RESULTS, SKIPS, TASKS, query
 from quarrylog.sources import scratch, snapshots
 from quarrylog.sources import tables as T
 from quarrylog.streaming import webhooks
@@ -103,3 +104,218 @@ def tenant_snapshot(spark, sf_dir):
     new = tasks.where("line_id % 3 = 0 and minutes = 1").select((F.col("task_id") + 1_000_000_000).alias("id"), F.lit("pending").alias("status"), "tokens")
     snapshots.change(spark, folder, "2", inserts=new)
     return snapshots.read(spark, folder)
+
+
+def agent(spark, sf_dir):
+    """The agent's functions over the given tables: an index for each service, documents' starts as knowledge, vectors as chunks and issues."""
+    rows = T.logs(spark, sf_dir).withColumn("index_name", F.concat(F.when(F.col("service") == 5, ".sys-").otherwise("app-"), F.col("service").cast("string")))
+    e = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("chunk "), F.col("vec_id")).alias("content"), F.col("embedding").alias("v"))
+    agent_sql.register(spark, rows, rows.groupBy(F.col("index_name").alias("name")).agg(F.count("*").alias("docs")), e, e.select(F.col("chunk_id").alias("issue_id"), F.lit("warning").alias("severity"), "content", "v"))
+    return spark
+
+
+INDEXED = f"{LOGS}, ix as (select *, case when service = 5 then '.sys-' else 'app-' end || service as index_name from logs)"
+SHOWN = "log_id, level, service::varchar as service, message[1:500] as message"
+
+
+@query("tool_search_logs", f"with {LOGS} select {SHOWN} from logs where level = 'ERROR' and contains(lower(message), 'request 1') and ts >= timestamp '2024-01-03' order by ts desc, log_id desc limit 30")
+def tool_search_logs(spark, sf_dir):
+    return agent(spark, sf_dir).sql("SELECT log_id, level, service, message FROM search_logs('REQUEST 1', timestamp'2024-01-03', NULL, 'error', 30)")
+
+
+@query("tool_log_context", f"with {LOGS} select {SHOWN} from logs where level in ('WARNING', 'ERROR') and ts between timestamp '2024-01-15 06:00:00' and timestamp '2024-01-15 10:00:00' order by ts, log_id limit 50")
+def tool_log_context(spark, sf_dir):
+    return agent(spark, sf_dir).sql("SELECT log_id, level, service, message FROM get_log_context(timestamp'2024-01-15 08:00:00', 120)")
+
+
+@query("tool_error_patterns", f"with {LOGS} select 'service' as by, service::varchar as key, count(*) as n from logs where level = 'ERROR' group by 1, 2 union all select * from (select 'pattern', regexp_extract(message, '([\\w.]+(?:Exception|Error|Throwable|Fault))', 1), count(*) from logs where level = 'ERROR' and ts >= timestamp '2024-01-10' group by 1, 2)")
+def tool_error_patterns(spark, sf_dir):
+    """Two calls in one statement."""
+    return agent(spark, sf_dir).sql("SELECT 'service' AS by, * FROM count_error_patterns(NULL, NULL, 'service') UNION ALL SELECT 'pattern', * FROM count_error_patterns(timestamp'2024-01-10', NULL)")
+
+
+@query("tool_indices", f"with {INDEXED} select index_name as name, count(*) as docs from ix where not starts_with(index_name, '.') group by 1")
+def tool_indices(spark, sf_dir):
+    return agent(spark, sf_dir).sql("SELECT * FROM list_available_indices('app-*')")
+
+
+NEAR = "with q as (select list_transform(embedding::double[], lambda x, i: x * (1 + (i - 1) % 3 * 0.2)) as q from embeddings where vec_id = 7), s as (select vec_id, list_dot_product(q, embedding::double[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::double[], embedding::double[])) as score from q, embeddings)"
+
+
+def asked_vector(spark, sf_dir) -> str:
+    """One vector, distorted, as a literal."""
+    v = T.table(spark, sf_dir, "embeddings").where("vec_id = 7").select(F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x * (1 + i % 3 * 0.2)).alias("v")).first()["v"]
+    return "array(" + ", ".join(f"{x!r}D" for x in v) + ")"
+
+
+@query("tool_knowledge", NEAR + " select vec_id as chunk_id, 'chunk ' || vec_id as content, round(score, 6) as score from s where score >= 0.2 order by score desc, vec_id limit 3")
+def tool_knowledge(spark, sf_dir):
+    return agent(spark, sf_dir).sql(f"SELECT * FROM search_knowledge_base({asked_vector(spark, sf_dir)}, 0.2D)")
+
+
+@query("tool_similar_incidents", NEAR + " select vec_id as issue_id, 'warning' as severity, 'chunk ' || vec_id as content, round(score, 6) as score from s order by score desc, vec_id limit 5")
+def tool_similar_incidents(spark, sf_dir):
+    return agent(spark, sf_dir).sql(f"SELECT * FROM search_similar_incidents({asked_vector(spark, sf_dir)}, 9)")
+
+
+@query("tool_cross_service", f"with {INDEXED}, o as (select distinct index_name from ix where not starts_with(index_name, '.') and not starts_with(index_name, 'app-0') and not starts_with(index_name, 'app-1') order by 1 limit 5) select log_id, service::varchar as service, message[1:200] as message from ix where level = 'ERROR' and contains(lower(message), 'sqlexception') and index_name in (select index_name from o) order by ts desc, log_id desc limit 10")
+def tool_cross_service(spark, sf_dir):
+    return agent(spark, sf_dir).sql("SELECT log_id, service, message FROM search_cross_service_logs('SQLException', 'app-0*, app-1', NULL, NULL)")
+
+
+@query(
+    "analysis_stages",
+    f"""with {LOGS}, e as (select * from logs where level = 'ERROR'), x as (select distinct service, split_part(message, ':', 1) as kind from e)
+    select 'errors' as stage, 'ok' as status, (select count(*) from e)::bigint as rows union all select 'patterns', 'ok', (select count(*) from x) union all select 'enrich', 'error', null union all select 'known', 'ok', (select count(*) from x where kind like '%SQL%') union all select 'inference', 'skipped', null""",
+)
+def analysis_stages(spark, sf_dir):
+    """Metrics of five stages: two critical ones in one plan, an optional one that fails, another that works, and one that is skipped for what was found."""
+    own = [
+        stages.Stage("errors", lambda d: d.where("level = 'ERROR'")),
+        stages.Stage("patterns", lambda d: d.select("service", F.substring_index("message", ":", 1).alias("kind")).distinct()),
+        stages.Stage("enrich", lambda d: d.withColumn("x", F.raise_error(F.lit("no service")).cast("int")), critical=False),
+        stages.Stage("known", lambda d: d.where("kind like '%SQL%'"), critical=False),
+        stages.Stage("inference", lambda d: d, skip=lambda facts: facts["rows_known"] < facts["rows_patterns"]),
+    ]
+    _, metrics = stages.run(T.logs(spark, sf_dir), own)
+    return spark.createDataFrame([(m["stage"], m["status"], m["rows"]) for m in metrics], "stage string, status string, rows long")
+
+
+FILETYPES = ("app.log.txt", "error.log", "warn.log", "warning.log", "info.log", "debug.log", "other.log", "")
+
+
+@query("filetype_severity", f"with {LOGS} select log_id from logs where ({list(FILETYPES)})[log_id % 8 + 1] in ('app.log.txt', 'warn.log', 'warning.log') or contains(message, '[WARN]') or lower(level) = 'warning'")
+def filetype_severity(spark, sf_dir):
+    """Warnings by a level, by a marker in the message, or by the kind of file a log comes from."""
+    rows = T.logs(spark, sf_dir)
+    filetype = F.get(F.array(*map(F.lit, FILETYPES)), (F.col("log_id") % 8).cast("int"))
+    return rows.where(search.severity_filter("warning", [F.lower("level")], F.lit(None).cast("string"), filetype, F.col("message"))).select("log_id")
+
+
+@query("levels_extracted", f"with {LOGS} select log_id, case log_id % 6 when 0 then lower(level) when 1 then 'critical' when 2 then 'debug' when 3 then 'custom' when 4 then case log_id % 8 when 1 then 'error' when 2 then 'warning' when 3 then 'warning' when 4 then 'info' when 5 then 'debug' else coalesce(case regexp_extract(message, '^\\[(\\w+)\\]', 1) when 'ERROR' then 'error' when 'WARN' then 'warning' when 'INFO' then 'info' end, '') end else coalesce(case regexp_extract(message, '^\\[(\\w+)\\]', 1) when 'ERROR' then 'error' when 'WARN' then 'warning' when 'INFO' then 'info' end, '') end as level from logs")
+def levels_extracted(spark, sf_dir):
+    """Each sixth of the logs has its level in another field, in the file type, or in the message alone."""
+    k, none = F.col("log_id") % 6, F.lit(None).cast("string")
+    filetype = F.when(k == 4, F.get(F.array(*map(F.lit, FILETYPES)), (F.col("log_id") % 8).cast("int")))
+    level = X.extract_level(F.when(k == 0, F.col("level")), F.when(k == 1, "FATAL"), F.when(k == 2, "Trace"), F.when(k == 3, "Custom"), F.coalesce(filetype, none), F.col("message"))
+    return T.logs(spark, sf_dir).select("log_id", level.alias("level"))
+
+
+@query("messages_found", f"with {LOGS} select log_id, case when log_id % 3 = 0 then message when log_id % 3 = 1 and event_type <> '' then event_type else ('whole ' || message)[1:500] end as message from logs")
+def messages_found(spark, sf_dir):
+    k = F.col("log_id") % 3
+    return T.logs(spark, sf_dir).select("log_id", X.message_of(F.when(k == 0, F.col("message")), F.when(k == 1, F.col("event_type")).otherwise(""), whole=F.concat(F.lit("whole "), "message")).alias("message"))
+
+
+@query("learned_signals", "with s as (select event_type || (user_id % 40) as signal, max(value) / 100 as confidence, count(*) as hits from events group by 1 union all select 'Caused by:', 1.0, 1000000) select signal, hits from s where confidence >= 0.7 and signal <> 'Caused by:' order by hits desc, signal limit 200")
+def learned_signals(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events")
+    own = e.groupBy(F.concat("event_type", F.col("user_id") % 40).alias("signal")).agg((F.max("value") / 100).alias("confidence"), F.count("*").alias("hits"))
+    fixed = spark.createDataFrame([("Caused by:", 1.0, 1_000_000)], "signal string, confidence double, hits long")
+    return search.learned_signals(own.unionByName(fixed)).select("signal", "hits")
+
+
+@query("dedup_keys", f"with {LOGS} select key, count(*) as n from (select case when contains(message, 'Exception:') then regexp_extract(message, '([\\w.]+Exception)', 1) || ':' || string_split(message, chr(10))[1][1:200] else message[1:200] end as key from logs) group by 1")
+def dedup_keys(spark, sf_dir):
+    return T.logs(spark, sf_dir).groupBy(X.dedup_key(F.col("message")).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("timestamps_parsed", "select event_id, case event_id % 7 when 0 then epoch_us(date_trunc('second', ts)) / 1e6 when 1 then epoch_us(date_trunc('second', ts)) / 1e6 when 2 then epoch_us(date_trunc('millisecond', ts)) / 1e6 when 3 then epoch_us(date_trunc('millisecond', ts)) / 1e6 when 4 then epoch_us(date_trunc('second', ts)) / 1e6 - 7200 when 5 then event_id::double else 0.0 end as seconds from events")
+def timestamps_parsed(spark, sf_dir):
+    """Times written in several forms, numbers, and texts that are neither."""
+    k, ts = F.col("event_id") % 7, F.col("ts").cast("timestamp")
+    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+    written = F.coalesce(*[F.when(k == i, F.date_format(ts, f)) for i, f in enumerate(forms)], F.when(k == 5, F.col("event_id").cast("string")), F.lit("yesterday"))
+    return T.table(spark, sf_dir, "events").select("event_id", X.parse_timestamp(written).alias("seconds"))
+
+
+@query(
+    "answers_parsed",
+    f"""with {RESULTS}, p as (select result_id, severity, content, confidence from results) select result_id, case when result_id % 4 = 3 then null else 'anomaly' end as kind, case when result_id % 4 = 3 then null else severity end as severity, case when result_id % 4 = 3 then null else content end as content,
+    case when result_id % 4 = 3 then null when result_id % 4 = 2 then 0.5 else confidence end::double as confidence, case when result_id % 4 = 3 then null else 1 end as signals from p""",
+)
+def answers_parsed(spark, sf_dir):
+    """Answers as one object, as a list in a code fence, without a confidence, and as no JSON at all."""
+    r, k = T.results(spark, sf_dir), F.col("result_id") % 4
+    body = F.to_json(F.struct("severity", "content", F.when(k != 2, F.col("confidence").cast("double")).alias("confidence_score"), F.array("content", "content", F.lit("x")).alias("error_signals")))
+    answer = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n["), body, F.lit("]\n```"))).when(k == 2, F.concat(F.lit("  "), body)).otherwise("I cannot say")
+    one = F.get(priority.parse_results(answer), F.lit(0))
+    return r.select("result_id", one.alias("p")).select("result_id", F.col("p.result_type").alias("kind"), "p.severity", "p.content", F.round("p.confidence", 6).alias("confidence"), F.when(F.col("p").isNotNull(), F.size("p.signals")).alias("signals"))
+
+
+@query("signals_halved", "with s as (select user_id as id, max(value) / 100 as confidence, max((event_type = 'error')::int) as bad from events group by 1) select id, round(case when bad = 1 then confidence / 2 else confidence end, 6)::double as confidence from s where case when bad = 1 then confidence / 2 else confidence end >= 0.3")
+def signals_halved(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events")
+    signals = e.groupBy(F.col("user_id").alias("id")).agg((F.max("value") / 100).alias("confidence"))
+    return dedup.halve(signals, e.where("event_type = 'error'").select(F.col("user_id").alias("id"))).select("id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("components_health", "select case when exists (select 1 from supplier where s_nationkey in (0, 1) and s_acctbal < -900) then 'down' when exists (select 1 from supplier where s_acctbal < -900) then 'degraded' else 'ok' end as status")
+def components_health(spark, sf_dir):
+    """Suppliers as components: those of two nations are vital, and whoever owes much is down."""
+    s = T.table(spark, sf_dir, "supplier")
+    name = F.when(F.col("s_nationkey") == 0, "database").when(F.col("s_nationkey") == 1, "logs").otherwise(F.col("s_name"))
+    return dashboard.health(s.select(name.alias("name"), F.when(F.col("s_acctbal") < -900, "down").otherwise("ok").alias("status")))
+
+
+@query(
+    "alert_labels",
+    f"""with {TASKS} select task_id, case task_id % 4 when 0 then '🔴 [P0|' when 1 then '🟡 [P1|' when 2 then '🟢 [P2|' else '🟡 [P1|' end || (task_id % 101) || '分] ' || case when task_id % 5 = 0 then '🔄 [回归] 上次修复于 ' || strftime(created_at, '%Y-%m-%d') || ' | ' when task_id % 5 = 1 then '🆕 [首次发现] ' when task_id % 5 = 3 then '📋 [已知问题|第' || minutes + 1 || '次] ' else '' end as label from tasks""".replace("|| minutes + 1 ||", "|| (minutes + 1) ||"),
+)
+def alert_labels(spark, sf_dir):
+    k = F.col("task_id") % 5
+    p = F.when(F.col("task_id") % 4 < 3, F.concat(F.lit("P"), (F.col("task_id") % 4).cast("string")))
+    label = alerts.label(p, F.col("task_id") % 101, F.when(k == 3, F.col("minutes") + 1).otherwise(1), k == 1, k == 0, F.col("created_at"))
+    return T.tasks(spark, sf_dir).select("task_id", label.alias("label"))
+
+
+@query(
+    "alert_templates",
+    f"""with {TASKS} select task_id, '## ⚠️ 日志异常告警' || chr(10) || chr(10) || '**业务线**: line ' || line_id || chr(10) || '**站点**: ' || case when task_id % 3 = 0 then 'shop.example' when task_id % 3 = 1 then 'host-1' else '未知' end || chr(10) || case line_id % 3 when 0 then '**环境**: 🔴 正式环境' || chr(10) when 1 then '**环境**: 🟡 测试环境' || chr(10) else '' end
+    || '**语言**: ' || case line_id % 2 when 0 then 'C#' else 'rust' end || chr(10) || '**时间范围**: ' || strftime(created_at, '%Y-%m-%d') || chr(10) || '**异常日志数**: ' || log_count || ' 条' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**异常摘要**:' || chr(10) || repeat(task_type, 300)[1:1500] || chr(10) || chr(10) || '---' || chr(10) || '> 请及时排查处理。登录 日志 平台查看完整日志。' as alert,
+    '## ' || case task_type when 'alert_triggered' then '🔴' when 'manual' then '🔵' else '⚪' end || ' 日志 AI 分析告警' || chr(10) || chr(10) || '**告警级别**: ' || case task_type when 'alert_triggered' then 'CRITICAL' when 'manual' then 'INFO' else 'NONE' end || chr(10) || '**业务线**: line ' || line_id || chr(10) || '**站点**: 未知' || case line_id % 3 when 0 then ' (正式环境)' when 1 then ' (测试环境)' else '' end || chr(10)
+    || '**分析日志数**: ' || log_count || ' 条' || chr(10) || '**任务ID**: ' || task_id::varchar[1:8] || '...' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**AI 分析结论**:' || chr(10) || status || chr(10) || chr(10) || '---' || chr(10) || '> 请及时处理。登录 日志 平台查看完整分析报告。' as analysis,
+    '## 🛑 AI 分析流程异常' || chr(10) || chr(10) || '**业务线**: line ' || line_id || chr(10) || '**站点**: 未知' || chr(10) || '**任务ID**: ' || task_id::varchar[1:8] || '...' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**错误信息**:' || chr(10) || '```' || chr(10) || status || chr(10) || '```' || chr(10) || chr(10) || '---' || chr(10) || '> ⚠️ 分析管道执行未能完成' || chr(10)
+    || '> 请检查报错查明是基础设施依赖（如 ElasticSearch、网络等）故障，还是 AI 模型调用异常。' || chr(10) || '> 当前该业务线的错误日志将仅通过原始日志摘要通知。' as failure from tasks""".replace("task_id::varchar[1:8]", "(task_id::varchar)[1:8]"),
+)
+def alert_templates(spark, sf_dir):
+    t, none = T.tasks(spark, sf_dir), F.lit(None).cast("string")
+    line = F.concat(F.lit("line "), F.col("line_id").cast("string"))
+    branch = F.when(F.col("line_id") % 3 == 0, "master").when(F.col("line_id") % 3 == 1, "develop").otherwise("feature")
+    domain, host = F.when(F.col("task_id") % 3 == 0, "shop.example"), F.when(F.col("task_id") % 3 == 1, "host-1").otherwise("")
+    severity = F.when(F.col("task_type") == "alert_triggered", "critical").when(F.col("task_type") == "manual", "info").otherwise("none")
+    return t.select(
+        "task_id",
+        alerts.error_alert(line, domain, branch, host, F.when(F.col("line_id") % 2 == 0, "csharp").otherwise("rust"), F.col("log_count"), F.repeat("task_type", F.lit(300)), F.date_format("created_at", "yyyy-MM-dd")).alias("alert"),
+        alerts.analysis_alert(line, none, branch, none, severity, F.col("status"), F.col("task_id"), F.col("log_count")).alias("analysis"),
+        alerts.failure_alert(line, none, F.col("status"), F.col("task_id")).alias("failure"),
+    )
+
+
+@query(
+    "answer_grades",
+    """with a as (select doc_id, (case doc_id % 5 when 0 then 'Root cause: ' when 1 then 'looks normal, check the logs. ' when 2 then 'fix the dependency and verify null, impact. ' when 3 then '' else '检查参数。解决方案: ' end || case when doc_id % 7 = 0 then '' else text end) as t, doc_id % 10 / 10.0 as c, doc_id % 6 as logs from documents),
+    p as (select *, length(trim(t)) as n, contains(lower(t), 'looks normal')::int + contains(lower(t), 'check the logs')::int as generic,
+     regexp_matches(t, '(?i)(?:fix|patch|upgrade|update).*(?:version|dependency)')::int + regexp_matches(t, '(?i)(?:检查|verify|确认).*(?:空值|null|参数|parameter|权限|permission)')::int + regexp_matches(t, '(?i)(?:code).*(?:line|file)')::int + regexp_matches(t, '(?i)root cause')::int + regexp_matches(t, '(?i)(?:impact|scope)')::int + regexp_matches(t, '(?i)(?:recommendation|solution|解决方案)')::int as advice from a where t is not null),
+    s as (select *, case when t = '' then 0 else least(100, case when n >= 200 then 30 when n >= 50 then floor(15 + 15 * (n - 50) / 150) else floor(15 * n / 50) end + case generic when 0 then 25 when 1 then 15 else 5 end + case when advice >= 3 then 25 when advice >= 1 then 15 else 5 end + case when c >= 0.8 then 20 when c >= 0.5 then 12 else 5 end)::int end as score from p)
+    select doc_id, score::int as score, case when score >= 70 then 'high' when score >= 40 then 'medium' else 'low' end as grade, t = '' or score < 40 and logs >= 3 as retry from s""",
+)
+def answer_grades(spark, sf_dir):
+    d, k = T.table(spark, sf_dir, "documents"), F.col("doc_id") % 5
+    head = F.when(k == 0, "Root cause: ").when(k == 1, "looks normal, check the logs. ").when(k == 2, "fix the dependency and verify null, impact. ").when(k == 3, "").otherwise("检查参数。解决方案: ")
+    rows = d.select("doc_id", F.concat(head, F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text"))).alias("t")).where("t is not null")
+    return rows.select("doc_id", alerts.graded(F.col("t"), F.col("doc_id") % 10 / 10, F.col("doc_id") % 6).alias("g")).select("doc_id", "g.*")
+
+
+@query("log_histogram_1m", f"with {LOGS}, b as (select unnest(range(timestamp '2024-01-15 07:00:00', timestamp '2024-01-15 09:00:00', interval 1 minute)) as bucket), c as (select date_trunc('minute', ts) as bucket, count(*) as n from logs where level = 'ERROR' group by 1) select bucket, coalesce(n, 0) as count from b left join c using (bucket)")
+def log_histogram_1m(spark, sf_dir):
+    """Errors by the minute, with rows of 0 up to both ends of the time asked for."""
+    low, high = datetime.datetime(2024, 1, 15, 7), datetime.datetime(2024, 1, 15, 8, 59)
+    rows = T.logs(spark, sf_dir).where(search.between(F.col("ts"), low, high + datetime.timedelta(minutes=1), False) & (F.col("level") == "ERROR"))
+    return timeseries.fill(timeseries.histogram(rows, "1 minute"), "1 minute", low, high)
+
+
+@query("line_sections", f"with {RESULTS}, d as (select distinct severity, content from results), r as (select *, row_number() over (partition by severity order by content) as place from d) select severity, 'Known patterns' || chr(10) || string_agg('- ' || content, chr(10) order by content) as section from r where place <= 20 group by 1")
+def line_sections(spark, sf_dir):
+    rows = T.results(spark, sf_dir).select("severity", "content").distinct()
+    return reports.section("Known patterns", rows, ["severity"], F.col("content"), "content")
