@@ -48,6 +48,13 @@ def extract_level(level: Column, log_level: Column, severity: Column, loglevel:
     return F.coalesce(*fields, lookup(filetype, V.FILETYPE_LEVEL), normalize_level(stated), F.lit(""))
 
 
+def pipeline_level(fields: tuple[Column, ...], log_level: Column, filetype: Column, message: Column) -> Column:
+    """As extract_level, in upper case and UNKNOWN where there is none; the first of the fields that is there at all decides, even if it is empty."""
+    stated = F.coalesce(*[nullif_empty(F.regexp_extract(message, V.LEVEL_PATTERNS[i], 1)) for i in (1, 0)])
+    own = F.coalesce(*map(normalize_level, fields), normalize_level(nullif_empty(log_level)), lookup(filetype, V.FILETYPE_LEVEL), normalize_level(stated))
+    return F.coalesce(F.upper(own), F.lit("UNKNOWN"))
+
+
 def message_of(*fields: Column, whole: Column) -> Column:
     """The first non-empty field, else the start of the whole document."""
     return F.coalesce(*map(nullif_empty, fields), F.substring(whole, 1, 500))

@@ -79,6 +79,12 @@ def mean_minutes(tasks: DataFrame) -> DataFrame:
     return tasks.where("status = 'completed'").agg(F.count("*").alias("tasks"), F.round(F.avg("minutes"), 4).alias("mean_minutes"))
 
 
+def processing_minutes(tasks: DataFrame) -> DataFrame:
+    """Mean minutes from start to end of completed tasks (status, started_at, completed_at) that have both; rounded to one place, null without any."""
+    seconds = (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
+    return tasks.where("status = 'completed' and started_at is not null and completed_at is not null").agg(F.count("*").alias("tasks"), F.round(F.avg(seconds) / 60, 1).alias("mean_minutes"))
+
+
 def top_patterns(results: DataFrame, most: int = 10) -> DataFrame:
     by = results.groupBy(F.substring("content", 1, 120).alias("pattern")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.max("result_id").alias("latest"))
     return by.orderBy(F.desc("n"), "pattern").limit(most)
@@ -138,3 +144,10 @@ def tenant_digest(tasks: DataFrame, results: DataFrame, previews: int = 5, previ
     both = sums.alias("s").join(counts.join(shown.withColumnRenamed("own", "own2").withColumnsRenamed({"tenant_id": "tenant2", "level": "level2"}), (F.col("tenant_id") == F.col("tenant2")) & F.col("own").eqNullSafe(F.col("own2")) & (F.col("level") == F.col("level2"))).alias("c"), key, "left")
     share = lambda part: F.round(100.0 * F.col(part) / F.col("total"), 1)
     return both.select("s.*", F.coalesce("c.critical", F.lit(0)).alias("critical"), "c.preview").withColumns({"skip_rate": share("quality_filtered"), "success_rate": share("completed"), "tokens_per_task": F.floor(F.col("tokens") / F.greatest("completed", F.lit(1)))}).drop("level")
+
+
+def period_digest(tasks: DataFrame, results: DataFrame, unit: str = "week") -> DataFrame:
+    """Measures, critical results and the share of completed tasks by day, week or month. Results are counted by task before they meet the tasks."""
+    critical = results.where("severity = 'critical'").groupBy("task_id").agg(F.count("*").alias("critical"))
+    by = tasks.join(critical, "task_id", "left").groupBy(F.date_trunc(unit, "created_at").cast("timestamp_ntz").alias(unit)).agg(*measures(), F.coalesce(F.sum("critical"), F.lit(0)).alias("critical"))
+    return by.withColumn("success_rate", F.round(100.0 * F.col("completed") / F.col("total"), 1))

@@ -110,8 +110,3 @@ def parse_results(answer: Column) -> Column:
     return F.transform(rows, cut)
 
 
-def answer_quality(content: Column, confidence: Column, generic: Column, actionable: Column) -> Column:
-    """0 to 100 from length, generic phrases, actionable patterns (both counted) and confidence."""
-    n = F.char_length(content)
-    length = F.when(n >= 200, 30).when(n >= 50, F.floor(15 + 15 * (n - 50) / 150)).otherwise(F.floor(15 * n / 50))
-    return length + F.when(generic == 0, 25).when(generic == 1, 15).otherwise(5) + F.when(actionable >= 3, 25).when(actionable >= 1, 15).otherwise(5) + F.when(confidence >= 0.8, 20).when(confidence >= 0.5, 12).otherwise(5)

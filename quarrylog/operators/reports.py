@@ -69,3 +69,13 @@ def sample_metrics(sample: DataFrame, *keys: str) -> DataFrame:
     """Rows, distinct groups, time span in seconds and severities of a sample."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     return sample.groupBy(*keys).agg(F.count("*").alias("rows"), F.countDistinct("group").alias("groups"), F.floor((F.max(at) - F.min(at)) / 1_000_000).alias("span_seconds"), F.countDistinct("severity").alias("severities"))
+
+
+def failover(answers: DataFrame, preferred: Column | None = None) -> DataFrame:
+    """answers (task_id, provider_id, priority, ok, answer) of all providers that were asked -> task_id, provider_id, answer, tried: the first that gave one, the preferred provider before all, then by
+    priority; null where all failed. tried counts those before it, too."""
+    order = F.struct(F.when(F.lit(False) if preferred is None else F.coalesce(preferred, F.lit(False)), 0).otherwise(1).alias("a"), (-F.col("priority")).alias("p"), F.col("provider_id").alias("i"))
+    rows = answers.select("task_id", "provider_id", "answer", "ok", order.alias("order"))
+    taken = rows.groupBy("task_id").agg(F.min(F.when(F.col("ok"), F.struct("order", "provider_id", "answer"))).alias("first"), F.array_sort(F.collect_list("order")).alias("orders"))
+    tried = F.when(F.col("first").isNull(), F.size("orders")).otherwise(F.size(F.filter("orders", lambda o: o <= F.col("first.order"))))
+    return taken.select("task_id", "first.provider_id", "first.answer", tried.alias("tried"))

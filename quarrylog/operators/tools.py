@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylog.functions import text as X
@@ -78,3 +78,15 @@ def other_indices(catalog: DataFrame, patterns: DataFrame, service: str | None =
     starts = shown.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("name")), lambda n: F.left("name", n))).alias("prefix"))
     own = starts.join(bases, "prefix").select("name").distinct()
     return shown.where("name <> ''").join(own, "name", "left_anti").orderBy("name").limit(most)
+
+
+def related_errors(edges: DataFrame, errors: DataFrame, low, high, within: Column | None = None, minutes: int = 5, most: int = 10, samples: int = 5, chars: int = 300) -> DataFrame:
+    """edges (line_id, related, direction: few for a line) and errors (log_id, ts, line, message) -> for each edge with errors in the window, widened on both sides: the latest errors counted, most at most,
+    and the messages of the latest samples. Errors are cut to the latest of each line before they meet the edges."""
+    spread = F.make_dt_interval(mins=F.lit(minutes))
+    inside = (F.col("ts") >= F.lit(low) - spread) & (F.col("ts") <= F.lit(high) + spread)
+    place = F.row_number().over(Window.partitionBy("line").orderBy(F.desc("ts"), F.desc("log_id")))
+    latest = errors.where(inside if within is None else inside & within).withColumn("place", place).where(F.col("place") <= most)
+    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= samples, F.struct("place", F.substring("message", 1, chars).alias("m"))))), lambda s: s["m"])
+    by_line = latest.groupBy(F.col("line").alias("related")).agg(F.count("*").alias("errors"), shown.alias("samples"))
+    return edges.join(by_line, "related").select("line_id", "related", "direction", "errors", "samples")

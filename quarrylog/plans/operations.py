@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quarrylog.functions import text as X
 from quarrylog.operators import agent_sql, alerts, dashboard, dedup, priority, pruned, reports, search, stages, timeseries, tools
-from quarrylog.plans.registry import LOGS, MEASURES, RESULTS, SKIPS, TASKS, query
+from quarrylog.plans.findings import EDGES, related_lines
+from quarrylog.plans.registry import CALLS, LOGS, MEASURES, RESULTS, SKIPS, TASKS, query
 from quarrylog.sources import scratch, snapshots
 from quarrylog.sources import tables as T
 from quarrylog.streaming import webhooks
@@ -319,3 +320,118 @@ def log_histogram_1m(spark, sf_dir):
 def line_sections(spark, sf_dir):
     rows = T.results(spark, sf_dir).select("severity", "content").distinct()
     return reports.section("Known patterns", rows, ["severity"], F.col("content"), "content")
+
+
+@query(
+    "related_line_errors",
+    f"""with {LOGS}, {EDGES}, a as (select line, up as related, 0 as k from e union all select up, line, 1 from e), r as (select *, row_number() over (partition by line order by k, related) as place from a),
+    g as (select r.line::bigint as line_id, related::bigint as related, case when e.up is null then 'downstream' else 'upstream' end as direction from r left join e on e.line = r.line and e.up = r.related where place <= 6),
+    l as (select *, user_id % 25 as line, row_number() over (partition by user_id % 25 order by ts desc, log_id desc) as place from logs where level = 'ERROR' and ts between timestamp '2024-01-20 03:55:00' and timestamp '2024-01-21 00:05:00'),
+    s as (select line, count(*) as errors, array_to_string(list(message[1:300] order by place) filter (place <= 5), chr(10)) as samples from l where place <= 10 group by 1)
+    select line_id, related, direction, errors, samples from g join s on s.line = g.related""",
+)
+def related_line_errors(spark, sf_dir):
+    """Errors of the lines that a line's deliveries connect it with, six at most, in a window widened by five minutes."""
+    edges = related_lines(spark, sf_dir).select("line_id", "related", "direction")
+    errors = T.logs(spark, sf_dir).where("level = 'ERROR'").select("log_id", "ts", (F.col("user_id") % 25).alias("line"), "message")
+    out = tools.related_errors(edges, errors, datetime.datetime(2024, 1, 20, 4), datetime.datetime(2024, 1, 21))
+    return out.withColumn("samples", F.array_join("samples", "\n"))
+
+
+@query("pipeline_levels", f"with {LOGS} select log_id, case log_id % 5 when 0 then level when 1 then '' when 2 then 'CRITICAL' when 3 then case log_id % 8 when 1 then 'ERROR' when 2 then 'WARNING' when 3 then 'WARNING' when 4 then 'INFO' when 5 then 'DEBUG' else 'UNKNOWN' end else case regexp_extract(message, '^\\[(\\w+)\\]', 1) when 'ERROR' then 'ERROR' when 'WARN' then 'WARNING' when 'INFO' then 'INFO' else 'UNKNOWN' end end as level from logs")
+def pipeline_levels(spark, sf_dir):
+    """A field that is there but empty decides, too; where nothing is stated the level is unknown."""
+    k = F.col("log_id") % 5
+    filetype = F.when(k == 3, F.get(F.array(*map(F.lit, FILETYPES)), (F.col("log_id") % 8).cast("int")))
+    level = X.pipeline_level((F.when(k == 0, F.col("level")), F.when(k == 1, "")), F.when(k == 2, "fatal"), filetype, F.when(k == 4, F.col("message")).otherwise("no level"))
+    return T.logs(spark, sf_dir).select("log_id", level.alias("level"))
+
+
+@query(
+    "provider_failover",
+    """with a as (select o_orderkey as task_id, p as provider_id, (p * 7 + o_orderkey) % 4 as priority, (o_orderkey + p * 3) % 5 < 2 as ok, p = o_custkey % 6 as preferred, 'by ' || p as answer from orders, (select unnest([0, 1, 2, 3]) as p)),
+    r as (select *, row_number() over (partition by task_id order by preferred desc, priority desc, provider_id) as place from a), f as (select task_id, min(place) filter (ok) as place, count(*) as n from r group by 1)
+    select f.task_id, provider_id, answer, coalesce(f.place, n)::int as tried from f left join r on r.task_id = f.task_id and r.place = f.place""",
+)
+def provider_failover(spark, sf_dir):
+    o = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), "o_custkey", F.explode(F.array(*map(F.lit, range(4)))).alias("provider_id"))
+    p, t = F.col("provider_id"), F.col("task_id")
+    asked = o.select("task_id", "provider_id", "o_custkey", ((p * 7 + t) % 4).alias("priority"), ((t + p * 3) % 5 < 2).alias("ok"), F.concat(F.lit("by "), p.cast("string")).alias("answer"))
+    return reports.failover(asked, p == F.col("o_custkey") % 6)
+
+
+@query("processing_time", "select count(*) as tasks, round(avg(epoch_us(o_orderdate::timestamp + to_minutes((o_orderkey % 7 + 1)::int) + to_seconds((o_orderkey % 50)::int)) - epoch_us(o_orderdate::timestamp)) / 1e6 / 60, 1) as mean_minutes from orders where o_orderstatus = 'F' and o_orderkey % 3 > 0")
+def processing_time(spark, sf_dir):
+    o = T.table(spark, sf_dir, "orders")
+    start = F.col("o_orderdate").cast("timestamp_ntz")
+    end = F.when(F.col("o_orderkey") % 3 > 0, start + F.make_dt_interval(mins=(F.col("o_orderkey") % 7 + 1).cast("int"), secs=(F.col("o_orderkey") % 50).cast("decimal(18,6)")))
+    return dashboard.processing_minutes(o.select(F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"), start.alias("started_at"), end.alias("completed_at")))
+
+
+@query("tool_usage_of_tasks", f"with {TASKS}, {CALLS}, c as (select calls.* from calls join tasks using (task_id) where created_at >= timestamp '1995-01-01') select tool, count(*) as calls, count(*) filter (success) as succeeded, count(*) filter (not success) as failed, (sum(duration_ms) // count(*))::bigint as avg_ms, (sum(result_length) // count(*))::bigint as avg_length from c group by 1")
+def tool_usage_of_tasks(spark, sf_dir):
+    """Calls of the tasks created since a day."""
+    recent = T.tasks(spark, sf_dir).where(F.col("created_at") >= F.lit(datetime.datetime(1995, 1, 1))).select("task_id")
+    return dashboard.tool_usage(T.tool_calls(spark, sf_dir).join(recent, "task_id"))
+
+
+@query("feedback_of_recent", f"with {TASKS}, {RESULTS} select severity, count(*) as results, sum(feedback)::bigint as feedback from results where task_id in (select task_id from tasks where created_at >= timestamp '1997-01-01' and line_id = 3) group by 1")
+def feedback_of_recent(spark, sf_dir):
+    """Results of a line's recent tasks, by a semi join."""
+    recent = T.tasks(spark, sf_dir).where((F.col("created_at") >= F.lit(datetime.datetime(1997, 1, 1))) & (F.col("line_id") == 3)).select("task_id")
+    return T.results(spark, sf_dir).join(recent, "task_id", "left_semi").groupBy("severity").agg(F.count("*").alias("results"), F.sum("feedback").alias("feedback"))
+
+
+@query("alert_buckets", f"with {TASKS} select date_trunc('month', created_at)::timestamp as bucket, count(*) as count from tasks where task_type = 'alert_triggered' group by 1")
+def alert_buckets(spark, sf_dir):
+    a = T.tasks(spark, sf_dir).where("task_type = 'alert_triggered'")
+    return a.groupBy(F.date_trunc("month", "created_at").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("count"))
+
+
+@query("weekly_digest", f"with {TASKS}, {RESULTS}, k as (select task_id, count(*) as critical from results where severity = 'critical' group by 1), w as (select *, date_trunc('week', created_at)::timestamp as week from tasks) select week, {MEASURES}, coalesce(sum(critical), 0)::bigint as critical, round(100.0 * count(*) filter (status = 'completed') / count(*), 1)::double as success_rate from w left join k using (task_id) group by 1")
+def weekly_digest(spark, sf_dir):
+    return dashboard.period_digest(T.tasks(spark, sf_dir), T.results(spark, sf_dir), "week")
+
+
+@query("tasks_page", f"with {TASKS}, t as (select * from tasks where line_id = 4 and status = 'completed'), n as (select count(*) as total from t) select task_id, created_at, total, ceil(total / 20.0)::bigint as pages from t, n order by created_at desc, task_id limit 20 offset 40")
+def tasks_page(spark, sf_dir):
+    """The third page of a line's completed tasks, with how many there are."""
+    rows = T.tasks(spark, sf_dir).withColumnRenamed("task_id", "id")
+    page, total, pages = snapshots.page(rows, 40, 20, line_id=4, status="completed")
+    return page.select(F.col("id").alias("task_id"), "created_at", F.lit(total).cast("long").alias("total"), F.lit(pages).cast("long").alias("pages"))
+
+
+@query("index_listing", f"with {LOGS} select distinct case service % 3 when 0 then '.ds-app-' when 1 then '.sys-' else 'app-' end || service as name from logs where service % 3 <> 1")
+def index_listing(spark, sf_dir):
+    """Names that begin with a dot are hidden, but for data streams."""
+    kind = F.when(F.col("service") % 3 == 0, ".ds-app-").when(F.col("service") % 3 == 1, ".sys-").otherwise("app-")
+    return T.index_listing(T.logs(spark, sf_dir).select(F.concat(kind, F.col("service").cast("string")).alias("name")).distinct())
+
+
+@query("known_issue", "select vec_id as id, label from embeddings where vec_id = 42")
+def known_issue(spark, sf_dir):
+    return tools.known_issue(T.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id").select("id", "label", "embedding"), 42)
+
+
+@query("stacks_embedded", f"with {LOGS} select level, count(*) as n from logs where contains(message, chr(10) || '  at ') group by 1")
+def stacks_embedded(spark, sf_dir):
+    return T.logs(spark, sf_dir).where(X.has_stack(F.col("message"))).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("tenant_tasks", f"with {TASKS} select line_id, count(*) as n from tasks where line_id % 3 = 2 group by 1")
+def tenant_tasks(spark, sf_dir):
+    return T.scoped(T.tasks(spark, sf_dir).withColumn("tenant_id", F.col("line_id") % 3), 2).groupBy("line_id").agg(F.count("*").alias("n"))
+
+
+@query("newest_of_groups", f"with {LOGS} select service, case when level = 'ERROR' then regexp_extract(message, '([\\w.]+Exception)', 1) else level end as kind, max_by(log_id, (ts, log_id)) as log_id from logs group by 1, 2")
+def newest_of_groups(spark, sf_dir):
+    kind = F.when(F.col("level") == "ERROR", X.exception_class(F.col("message"))).otherwise(F.col("level"))
+    return T.logs(spark, sf_dir).groupBy("service", kind.alias("kind")).agg(F.max(F.struct("ts", "log_id"))["log_id"].alias("log_id"))
+
+
+@query("signals_united", "select signal, min(k) as rank from (select unnest(['Caused by:', 'SQLException']) as signal, 0 as k union all select distinct event_type, 1 from events) group by 1")
+def signals_united(spark, sf_dir):
+    """Fixed signals first, then learned ones; the first of equal ones counts."""
+    fixed = spark.createDataFrame([("Caused by:", 0), ("SQLException", 0)], "signal string, rank int")
+    learned = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("signal"), F.lit(1).alias("rank")).distinct()
+    return timeseries.union_all([fixed, learned]).groupBy("signal").agg(F.min("rank").alias("rank"))
