@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quarrylog.llm.shared import bounded_batches, small, stash
 
 MARKS = re.compile(r"^\s*((?:>\s?)+)")
-WROTE = re.compile(r"^.{0,200}\b(wrote|schrieb|a écrit|escribió)\s*:\s*$", re.I)
+WROTE = re.compile(r"^.*\b(wrote|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 #: Turns of a conversation that one task looks back over.
 RUN = 512
 #: Rows of one place in a conversation, its turn given more than once, that still stand among the others of its thread.

@@ -5,7 +5,7 @@ import collections
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarrylog.llm import decontam, langid, mixing, ngram_join, toxicity
+from quarrylog.llm import chat, decontam, langid, mixing, ngram_join, toxicity
 from quarrylog.llm.shared import labelled_sample
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +67,10 @@ def test_neighbours_of_very_many_words_are_counted_alike():
     small = toxicity.fit(words, texts, y, passes=1)
     many = toxicity.fit(words + [b"x%d" % i for i in range(2_100_000)], texts, y, passes=1)
     assert small.steps.tolist() == many.steps.tolist() and small.bias == many.bias
+
+
+def test_introductions_of_any_length_go():
+    """Also one of more than 200 characters, which was kept before."""
+    text = "On Monday " + "the person of a very long name " * 12 + "wrote:\n> the quoted line\nmy answer"
+    assert chat.parse(text)[0] == "my answer"
+    assert chat.parse("they wrote:\nno quote follows")[0] == "they wrote:\nno quote follows"
