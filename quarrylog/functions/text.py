@@ -116,11 +116,11 @@ def first_line(message: Column, length: int) -> Column:
     return F.substring(F.substring_index(message, "\n", 1), 1, length)
 
 
-def fingerprint(scope: Column, message: Column) -> Column:
-    """scope:class:hash of the first line, or scope:longer hash where there is no exception class; empty for no message."""
+def fingerprint(scope: Column, message: Column, prefix: str = "") -> Column:
+    """prefix, then scope:class:hash of the first line, or scope:longer hash where there is no exception class; empty for no message."""
     line = first_line(message, 200)
     body = F.coalesce(F.concat(exception_class(line), F.lit(":"), F.substring(F.md5(line), 1, 12)), F.substring(F.md5(line), 1, 16))
-    return F.when(F.coalesce(message, F.lit("")) == "", "").otherwise(F.concat(scope, F.lit(":"), body))
+    return F.when(F.coalesce(message, F.lit("")) == "", "").otherwise(F.concat(F.lit(prefix), scope, F.lit(":"), body))
 
 
 def group_key(message: Column) -> Column:
@@ -142,10 +142,10 @@ def normalize_signature(content: Column) -> Column:
 
 
 def error_signature(log: Column) -> Column:
-    """Sorted exception classes and the first 8 frames; without classes the first 3 error lines; else the first 300 characters."""
+    """Sorted exception classes and the first 8 frames, of a line its first; without classes the first 3 error lines; else the first 300 characters."""
     lines = F.split(log, "\n")
     classes = F.array_sort(F.array_distinct(F.regexp_extract_all(log, F.lit(V.EXCEPTION_CLASS), F.lit(1))))
-    frames = F.slice(F.array_distinct(F.regexp_extract_all(log, F.lit(V.FRAME_METHOD), F.lit(1))), 1, 8)
+    frames = F.slice(F.array_distinct(F.filter(F.transform(lines, lambda x: F.regexp_extract(x, V.FRAME_METHOD, 1)), lambda m: m != "")), 1, 8)
     errors = F.slice(F.filter(lines, lambda x: F.upper(x).contains("[ERROR]") | F.upper(x).contains("[FATAL]")), 1, 3)
     errors = F.transform(errors, lambda x: F.substring(F.trim(F.regexp_replace(x, r"^\[.*?\]\s*\[.*?\]\s*(\[.*?\]\s*)?", "")), 1, 150))
     known = F.concat(F.lit("EXCEPTIONS: "), F.array_join(classes, ", "), F.when(F.size(frames) > 0, F.concat(F.lit(" | STACK: "), F.array_join(frames, " → "))).otherwise(""))

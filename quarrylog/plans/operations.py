@@ -10,7 +10,7 @@ from quarrylog.functions import text as X
 from quarrylog.operators import agent_sql, alerts, dashboard, dedup, priority, pruned, reports, search, stages, timeseries, tools
 from quarrylog.plans.findings import EDGES, related_lines
 from quarrylog.plans.registry import CALLS, LOGS, MEASURES, RESULTS, SKIPS, TASKS, query
-from quarrylog.sources import scratch, snapshots
+from quarrylog.sources import scratch, snapshots, vectors
 from quarrylog.sources import tables as T
 from quarrylog.streaming import webhooks
 
@@ -435,3 +435,36 @@ def signals_united(spark, sf_dir):
     fixed = spark.createDataFrame([("Caused by:", 0), ("SQLException", 0)], "signal string, rank int")
     learned = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("signal"), F.lit(1).alias("rank")).distinct()
     return timeseries.union_all([fixed, learned]).groupBy("signal").agg(F.min("rank").alias("rank"))
+
+
+@query(
+    "signature_branches",
+    f"""with {LOGS} select log_id, case log_id % 3 when 0 then 'EXCEPTIONS: ' || case when level = 'ERROR' then array_to_string(list_sort(['b.OtherError', regexp_extract(message, '([\\w.]+Exception)', 1)]), ', ') || ' | STACK: ' || regexp_extract(message, 'at\\s+([\\w.$]+)\\(', 1) || ' → x.Y.run' else 'b.OtherError | STACK: x.Y.run' end
+    when 1 then 'ERRORS: first ' || log_id || ' | second | third' else ('calm ' || repeat(event_type, 99))[1:300] end as signature from logs""",
+)
+def signature_branches(spark, sf_dir):
+    """Texts with classes and frames, two of them on one line; with error lines only; and with neither."""
+    k = F.col("log_id") % 3
+    classes = F.concat("message", F.lit("\nCaused by: b.OtherError: z\n at x.Y.run(Y.java:1) at second.On.line(Z.java:2)\n at x.Y.run(Y.java:9)"))
+    lines = F.concat(F.lit("[2024-01-01] [ERROR] first "), F.col("log_id").cast("string"), F.lit("\nplain\n[a] [ERROR] [b] second\n[a] [FATAL] third\n[a] [ERROR] fourth"))
+    calm = F.concat(F.lit("calm "), F.repeat("event_type", F.lit(99)))
+    return T.logs(spark, sf_dir).select("log_id", X.error_signature(F.when(k == 0, classes).when(k == 1, lines).otherwise(calm)).alias("signature"))
+
+
+@query("fingerprint_branches", f"with {LOGS} select case when event_id % 2 = 0 then 'fp:' || service || ':a.b.KindError:' || md5('a.b.KindError: x ' || event_id % 9)[1:12] else 'fp:' || service || ':' || md5(('line ' || repeat(event_id % 9, 300))[1:200])[1:16] end as fingerprint, count(*) as n from (select *, log_id as event_id from logs) group by 1".replace("|| event_id % 9)", "|| (event_id % 9))").replace("repeat(event_id % 9,", "repeat((event_id % 9)::varchar,"))
+def fingerprint_branches(spark, sf_dir):
+    """Messages with an exception class, and long ones without."""
+    k = (F.col("log_id") % 9).cast("string")
+    text = F.when(F.col("log_id") % 2 == 0, F.concat(F.lit("a.b.KindError: x "), k, F.lit("\n at q"))).otherwise(F.concat(F.lit("line "), F.repeat(k, F.lit(300))))
+    return T.logs(spark, sf_dir).groupBy(X.fingerprint(F.col("service").cast("string"), text, "fp:").alias("fingerprint")).agg(F.count("*").alias("n"))
+
+
+@query("vectors_stored", "select vec_id::varchar as doc_id, label::varchar as kb_id, round(list_sum(list_transform(embedding::double[], lambda x: x * x)), 4) as length from embeddings")
+def vectors_stored(spark, sf_dir):
+    """Chunks appended in two batches, one of them twice, and read back."""
+    folder = scratch.scratch(spark, "chunks")
+    e = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("label").cast("string").alias("kb_id"), "embedding", "vec_id")
+    vectors.create(spark, folder, dimension=64)
+    for name, rows in (("a", e.where("vec_id % 2 = 0")), ("b", e.where("vec_id % 2 = 1")), ("a", e.where("vec_id % 2 = 0"))):
+        vectors.append(rows, folder, name)
+    return vectors.read(spark, folder).select("doc_id", "kb_id", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x), 4).alias("length"))
