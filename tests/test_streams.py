@@ -146,3 +146,30 @@ def test_a_stream_of_alerts_is_sent_once(spark, tmp_path):
             os.remove(f"{checkpoint}/commits/{name}")  # the stream stopped after sending, before its commit
     run()
     assert len(os.listdir(calls)) == 3
+
+
+def test_counts_equal_batch_without_rows_that_are_too_late(spark, tmp_path):
+    """Tumbling and sliding windows against a batch; a row within the lateness counts, one after it doesn't."""
+    rng = random.Random(8)
+    schema = "ts timestamp, level string"
+    rows = sorted((at(rng.randrange(0, 3600)), rng.choice(["ERROR", "INFO"])) for _ in range(300))
+    half = len(rows) // 2
+    late, too_late = (rows[half][0] - datetime.timedelta(minutes=5), "LATE"), (at(0), "GONE")
+    batches = [rows[:half], [*rows[half:], late], [too_late], [(at(90_000), "END")]]
+    for i, slide in enumerate((None, "5 minutes")):
+        stream = stream_of(spark, str(tmp_path / f"in{i}"), schema, batches)
+        got = {(r["bucket"], r["level"]): r["count"] for r in results(stateful.counts(stream, "10 minutes", "10 minutes", slide), str(tmp_path / f"state{i}"))}
+        window = F.window("ts", "10 minutes", slide) if slide else F.window("ts", "10 minutes")
+        whole = spark.createDataFrame([*rows, late], schema).groupBy(window.alias("w"), "level").count()
+        assert got == {(r["w"]["start"], r["level"]): r["count"] for r in whole.collect()}
+
+
+def test_alert_windows_equal_batch(spark, tmp_path):
+    rng = random.Random(9)
+    schema = "ts timestamp, key string"
+    rows = [(at(rng.randrange(0, 6000)), rng.choice("abc")) for _ in range(120)]
+    stream = stream_of(spark, str(tmp_path / "in"), schema, [rows, [(at(50_000), "z")], [(at(60_000), "z")]])
+    got = {(r["key"], r["opened"]): r["alerts"] for r in results(stateful.alert_windows(stream, 300), str(tmp_path / "state"))}
+    batch = timeseries.first_in_window(spark.createDataFrame(rows, schema), 300, "key").collect()
+    want = {(r["key"], int(r["opened"].replace(tzinfo=datetime.timezone.utc).timestamp())): r["alerts"] for r in batch}
+    assert {k: n for k, n in got.items() if k[0] != "z"} == want
