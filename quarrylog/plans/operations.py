@@ -468,3 +468,52 @@ def vectors_stored(spark, sf_dir):
     for name, rows in (("a", e.where("vec_id % 2 = 0")), ("b", e.where("vec_id % 2 = 1")), ("a", e.where("vec_id % 2 = 0"))):
         vectors.append(rows, folder, name)
     return vectors.read(spark, folder).select("doc_id", "kb_id", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x), 4).alias("length"))
+
+
+@query(
+    "trend_alerts",
+    f"""with {TASKS} select line_id, '## ' || case when count(*) > 60 then '🔴' else '🟡' end || ' 错误趋势预警' || chr(10) || chr(10) || '**业务线**: line ' || line_id || chr(10) || '**加速倍率**: ' || printf('%.1f', count(*) / 10.0) || 'x (阈值: 3.0x)' || chr(10) || '**最近窗口错误数**: ' || count(*) || chr(10) || '**基线平均**: 10' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '> ⚠️ 错误率正在加速增长，建议立即排查是否有新发布或基础设施异常。' as alert from tasks where status = 'failed' group by line_id""",
+)
+def trend_alerts(spark, sf_dir):
+    n = T.tasks(spark, sf_dir).where("status = 'failed'").groupBy("line_id").agg(F.count("*").alias("n"))
+    return n.select("line_id", alerts.trend_alert(F.when(F.col("n") > 60, "critical").otherwise("warning"), F.concat(F.lit("line "), F.col("line_id").cast("string")), F.col("n") / 10, F.lit(3.0), F.col("n"), F.lit(10)).alias("alert"))
+
+
+@query(
+    "history_sections",
+    """with i as (select p_brand as line, p_partkey as id, p_size as hits, case when p_partkey % 3 = 0 then 'verified' end as quality, p_partkey % 4 = 1 as resolved, p_name as signature, case when p_partkey % 5 = 0 then '' else p_type || chr(10) || p_brand end as content from part),
+    r as (select *, row_number() over (partition by line order by quality desc nulls last, hits desc nulls last, id) as place from i),
+    e as (select line, place, place || '. [WARNING' || case when quality = 'verified' then ', 已验证' else '' end || case when resolved then ', 已修复' else '' end || '] ' || signature[1:120] || case when hits > 1 then ' (累计 ' || hits || ' 次)' else '' end || case when content = '' then '' else chr(10) || '   结论: ' || string_split(content, chr(10))[1][1:200] end as t from r where place <= 8)
+    select line, '## 该服务的历史分析记录' || chr(10) || '以下是过去分析中的关键发现：' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by place) || chr(10) || chr(10) || '请参考但基于当前日志做独立判断。已修复问题再次出现属于回归。' as section from e group by 1""",
+)
+def history_sections(spark, sf_dir):
+    """Parts as known issues of their brand, eight for each."""
+    p, k = T.table(spark, sf_dir, "part"), F.col("p_partkey")
+    issues = p.select(F.col("p_brand").alias("line"), k.alias("id"), F.col("p_size").alias("hits"), F.when(k % 3 == 0, "verified").alias("quality"), (k % 4 == 1).alias("resolved"), F.col("p_name").alias("signature"), F.when(k % 5 == 0, "").otherwise(F.concat("p_type", F.lit("\n"), "p_brand")).alias("content"), F.lit(None).cast("timestamp").alias("last_seen"))
+    best = reports.known_issues(issues, 8, "line").withColumns({"severity": F.lit("warning"), "verified": F.col("quality") == "verified"})
+    return alerts.history_sections(best, "line")
+
+
+@query(
+    "correlation_sections",
+    """with e as (select n_regionkey as line_id, n_name as name, case when n_nationkey % 2 = 0 then 'upstream' else 'downstream' end as direction, n_nationkey + 1 as errors from nation),
+    b as (select *, '### ' || case direction when 'upstream' then '上游服务' else '下游服务' end || ': ' || name || ' (' || errors || ' 条错误)' || chr(10) || '  1. ' || name || chr(10) || '  2. b' || chr(10) || '  3. c' || chr(10) as t from e where name in (select n_name from customer join nation on c_nationkey = n_nationkey))
+    select line_id, chr(10) || chr(10) || '## 跨服务关联异常' || chr(10) || '以下关联服务在同一时间窗口内也出现了错误，请综合分析是否存在级联故障：' || chr(10) || chr(10) || string_agg(t, chr(10) order by direction = 'downstream', name) as section from b group by 1""",
+)
+def correlation_sections(spark, sf_dir):
+    """Nations with customers as services that failed, by region."""
+    n = T.table(spark, sf_dir, "nation").join(T.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi")
+    found = n.select(F.col("n_regionkey").alias("line_id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "upstream").otherwise("downstream").alias("direction"), (F.col("n_nationkey") + 1).alias("errors"), F.array("n_name", F.lit("b"), F.lit("c"), F.lit("d")).alias("samples"))
+    return alerts.correlation_sections(found, "line_id")
+
+
+@query(
+    "change_sections",
+    f"""with {LOGS}, c as (select service, date_trunc('day', ts) as bucket, count(*) as n from logs group by 1, 2), r as (select *, row_number() over (partition by service order by bucket) as place from c where n % 2 = 0)
+    select service, chr(10) || chr(10) || '## 错误率变点检测' || chr(10) || '整体趋势: **stable**' || chr(10) || chr(10) || '以下时间点检测到统计显著的错误率突变：' || chr(10) || chr(10) || string_agg('- **' || strftime(bucket, '%Y-%m-%d %H:%M:%S') || '**: 错误率从 1/min 突增到 ' || n || '/min (z-score=3, 当前桶=' || n || '条)', chr(10) order by bucket) || chr(10) || chr(10) || '请结合以上错误率变化分析是否与部署、配置变更或流量突增有关。' as section from r where place <= 5 group by 1""",
+)
+def change_sections(spark, sf_dir):
+    """Days with an even number of logs as the points of a service."""
+    days = timeseries.histogram(T.logs(spark, sf_dir), "1 day", "service").where("count % 2 = 0")
+    points = days.withColumns({"trend": F.lit("stable"), "z": F.lit(3), "before_rate": F.lit(1), "after_rate": F.col("count")})
+    return alerts.change_sections(points, "service")
