@@ -56,13 +56,13 @@ def sample(logs: DataFrame, budget: int, *keys: str, level: Column | None = None
     budget = clamp_budget(budget)
     level, message = (F.col(name) if given is None else given for name, given in (("level", level), ("message", message)))
     rows = logs.select(*keys, "log_id", "ts", F.coalesce(F.upper(level), F.lit("UNKNOWN")).alias("severity"), message.alias("message"))
-    rows = rows.select(*keys, "log_id", "ts", "severity", X.group_key(F.col("message")).alias("group"), F.md5(F.substring("message", 1, 500)).alias("hash"))
     share = slots(rows.groupBy(*keys, "severity").agg(F.count("*").alias("n")), budget, *keys)
     bucket, out = [*keys, "severity"], [*keys, "log_id", "severity", "group"]
-    whole = rows.join(share.where("n <= slots").drop("n", "slots"), bucket).select(*out)
+    group = X.group_key(F.col("message")).alias("group")  # made behind the joins, so once for a row
+    whole = rows.join(share.where("n <= slots").drop("n", "slots"), bucket).withColumn("group", group).select(*out)
+    rows = rows.join(share.where("n > slots").drop("n"), bucket).select(*bucket, "log_id", "ts", "slots", group, F.md5(F.substring("message", 1, 500)).alias("hash"))
     newest = Window.partitionBy(*bucket, "group").orderBy(F.desc("ts"), F.desc("log_id"))
     turns = rows.withColumns({"turn": F.row_number().over(newest), "first_ts": F.first("ts").over(newest), "first_id": F.first("log_id").over(newest)}).where(F.col("turn") <= budget)
-    turns = turns.join(share.where("n > slots").drop("n"), bucket)
     order = F.struct("turn", (-F.unix_micros(F.col("first_ts").cast("timestamp"))).alias("t"), (-F.col("first_id")).alias("i"))
     fresh = turns.groupBy(*bucket, F.coalesce("hash", F.lit("")).alias("hash")).agg(F.min_by(F.struct("log_id", "group", "slots", order.alias("order")), order).alias("r")).select(*bucket, "r.*")
     taken = Window.partitionBy(*bucket).orderBy("order")
