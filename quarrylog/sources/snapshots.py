@@ -53,7 +53,7 @@ def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _put(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes rows (tenant, bucket and the table's columns) as files of their own and returns their part of the manifest."""
+    """Writes rows (tenant, bucket and the table's columns), dealt by Spark to files of even size, as files of their own and returns their part of the manifest."""
     written = uuid.uuid4().int >> 66
     path = f"{folder}/data/written={written}"
     rows.write.partitionBy("tenant", "bucket").option("compression", "zstd").parquet(path)
@@ -66,7 +66,7 @@ def create(rows: DataFrame, folder: str, tenant: str = "tenant_id", buckets: int
     own = _bucketed(rows.withColumnRenamed(tenant, "tenant").withColumn("tenant", F.col("tenant").cast("string")), buckets)
     own.limit(0).withColumn("_buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/schema-{buckets}")
     spark.createDataFrame([(tenant, buckets)], "tenant string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/layout")
-    _commit(_put(own.repartition("tenant", "bucket"), folder), folder, 0)
+    _commit(_put(own.hint("rebalance", "tenant", "bucket"), folder), folder, 0)
     return 0
 
 
@@ -123,7 +123,7 @@ def change(spark: SparkSession, folder: str, tenant: str, inserts: DataFrame | N
         raise ValueError("an id is inserted that is there already, or twice")
     counts = kept.agg(F.count_if("_inserted").alias("inserted"), F.count_if("_updated").alias("updated")).first()
     deleted = 0 if gone is None else old.join(gone, "id", "left_semi").count()
-    news = _put(kept.drop("_updated", "_inserted").select(*old.columns).repartition("bucket"), folder)
+    news = _put(kept.drop("_updated", "_inserted").select(*old.columns).hint("rebalance", "bucket"), folder)
     rest = files.join(own.select("tenant", "bucket"), ["tenant", "bucket"], "left_anti").select(*KEY)
     _commit(rest.unionByName(news), folder, version + 1)
     return {"version": version + 1, "inserted": counts["inserted"], "updated": counts["updated"], "deleted": deleted}
