@@ -1,3 +1,8 @@
+import json
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +71,21 @@ def test_signatures(spark):
     assert each(spark, X.normalize_signature, ["At 2024-01-01T00:00:00Z id 123456  HOST:80 0xFF"]) == ["at id host"]
 
 
+def test_classes_are_found_as_by_the_plain_pattern(spark):
+    plain = re.compile(r"([\w.]+(?:Exception|Error|Throwable|Fault))", re.ASCII)
+    pick = random.Random(7)
+    parts = ("Error", "Exception", "Fault", "Throwable", "Err", "E", ".", "a", "_", "9", " ", "\n", "$", "\u00e9", "\U0001f600", "\u5f02")
+    texts = ["Error", "ErrorError x", ".Error", "a.ErrorX.Fault.b Error Fault", *("".join(pick.choices(parts, k=12)) for _ in range(500))]
+    assert each(spark, lambda c: F.to_json(F.regexp_extract_all(c, F.lit(X.V.EXCEPTION_CLASS), F.lit(1))), texts) == [json.dumps(plain.findall(t), separators=(",", ":")) for t in texts]
+
+
+def test_long_words_take_time_in_proportion(spark):
+    word, began = "x.Y" * 40_000, time.monotonic()
+    assert each(spark, X.error_signature, [word, f"{word} a.BError {word}"]) == [word[:300], "EXCEPTIONS: a.BError"]
+    assert each(spark, X.dedup_key, [word]) == [word[:200]]
+    assert time.monotonic() - began < 20
+
+
 def test_stack_lines(spark):
     assert each(spark, X.is_stack_line, ["  at a.b(C.java:1)", "Caused by: x", "... 12 more", "started at noon"]) == [True, True, True, False]
     assert each(spark, X.has_stack, ["x\n  at a.b(C.java:1)", "x", ""]) == [True, False, False]
