@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import re
@@ -86,6 +87,13 @@ def test_long_words_take_time_in_proportion(spark):
     assert time.monotonic() - began < 20
 
 
+def test_fingerprints_of_long_lines(spark):
+    rows, began = spark.range(0, 40_000, 1, 1).select(F.concat(F.lit("line "), F.repeat((F.col("id") % 9).cast("string"), 300)).alias("v")), time.monotonic()
+    found = {r[0] for r in rows.groupBy(X.fingerprint(F.lit("b"), F.col("v"))).count().collect()}
+    assert found == {"b:" + hashlib.md5(("line " + str(k) * 195).encode()).hexdigest()[:16] for k in range(9)}
+    assert time.monotonic() - began < 25
+
+
 def test_stack_lines(spark):
     assert each(spark, X.is_stack_line, ["  at a.b(C.java:1)", "Caused by: x", "... 12 more", "started at noon"]) == [True, True, True, False]
     assert each(spark, X.has_stack, ["x\n  at a.b(C.java:1)", "x", ""]) == [True, False, False]
