@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -21,6 +22,11 @@ def contains_any(c: Column, phrases) -> Column:
     return F.coalesce(c.rlike("|".join(re.escape(p) for p in phrases)), F.lit(False))
 
 
+def named(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is made once for a row, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def nullif_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -118,9 +124,15 @@ def first_line(message: Column, length: int) -> Column:
 
 def fingerprint(scope: Column, message: Column, prefix: str = "") -> Column:
     """prefix, then scope:class:hash of the first line, or scope:longer hash where there is no exception class; empty for no message."""
-    line = first_line(message, 200)
-    body = F.coalesce(F.concat(exception_class(line), F.lit(":"), F.substring(F.md5(line), 1, 12)), F.substring(F.md5(line), 1, 16))
-    return F.when(F.coalesce(message, F.lit("")) == "", "").otherwise(F.concat(F.lit(prefix), scope, F.lit(":"), body))
+
+    def body(line: Column) -> Column:
+        known = exception_class(F.when(any_of(line.contains(e) for e in V.CLASS_ENDINGS), line))  # most lines have none of them, and a search for words is fast
+        return F.coalesce(F.concat(known, F.lit(":"), F.substring(F.md5(line), 1, 12)), F.substring(F.md5(line), 1, 16))
+
+    def whole(m: Column) -> Column:
+        return F.when(F.coalesce(m, F.lit("")) == "", "").otherwise(F.concat(F.lit(prefix), scope, F.lit(":"), named(first_line(m, 200), body)))
+
+    return named(message, whole)
 
 
 def group_key(message: Column) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import hashlib
 import json
 import random
 import re
@@ -94,6 +95,20 @@ def test_fingerprints_of_long_lines(spark):
     assert time.monotonic() - began < 25
 
 
+def test_fingerprints_make_their_message_once(spark):
+    message = F.concat(F.lit("marker "), F.col("id").cast("string"))
+    plan = spark.range(3).select(X.fingerprint(F.lit("s"), message, "fp:").alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("marker") == 1
+    texts = ["a.b.KindError: x\n at q", "Error", " Fault x.Fault", "\nfirst", "errors", "Err" + "or" * 300, "\u5f02 x.Throwable", "y" * 199 + ".Error"]
+
+    def own(t: str) -> str:
+        line = t.split("\n")[0][:200]
+        m, d = re.search(r"([\w.]+(?:Exception|Error|Throwable|Fault))", line, re.ASCII), hashlib.md5(line.encode()).hexdigest()
+        return f"fp:s:{m[1]}:{d[:12]}" if m else f"fp:s:{d[:16]}"
+
+    assert each(spark, lambda c: X.fingerprint(F.lit("s"), c, "fp:"), [*texts, "", None]) == [*map(own, texts), "", ""]
+
+
 def test_stack_lines(spark):
     assert each(spark, X.is_stack_line, ["  at a.b(C.java:1)", "Caused by: x", "... 12 more", "started at noon"]) == [True, True, True, False]
     assert each(spark, X.has_stack, ["x\n  at a.b(C.java:1)", "x", ""]) == [True, False, False]
