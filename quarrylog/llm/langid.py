@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylog.llm.shared import bounded_batches, labelled_sample
+from quarrylog.llm.shared import bounded_batches, labelled_sample, spot
 
 WIDTHS = (2, 3, 4)
 FILTERS, DEPTH, WINDOW = 12, 8, 256
@@ -91,8 +91,8 @@ class ByteNetwork:
                     v[name] = 0.999 * v[name] + 0.001 * grad * grad
                     self.p[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def judge(self, texts: list[bytes], at_once: int = 512) -> np.ndarray:
-        """Mean probabilities of each text's languages."""
+    def judge(self, texts: list[bytes], at_once: int = 128) -> np.ndarray:
+        """Mean probabilities of each text's languages. What a pass of at_once windows makes, some 10 MB, is the worker's largest piece of memory."""
         out, weight = np.zeros((len(texts), len(self.languages))), np.array([max(len(t), 1) for t in texts], float)
         own, rows, size = [], [], 0
 
@@ -109,7 +109,7 @@ class ByteNetwork:
             own.append((i, len(w)))
             rows.append(w)
             size += len(w)
-            if size >= 8 * at_once:
+            if size >= 32 * at_once:
                 flush()
                 size = 0
         flush()
@@ -145,14 +145,15 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
     """docs -> all their columns with lang_pred and score."""
     docs = docs.drop(*("lang_pred", "score"))
     names = docs.columns
-    bounded_batches(docs.sparkSession)
-    rows = docs.select("*", F.col("text").alias("_seen"))
+    bounded_batches(docs.sparkSession, 4 << 20)
     if network is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
 
+    where = spot(names, "text")
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
+            texts = batch.column(where).to_pylist()
             some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             if some:
@@ -160,10 +161,10 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
                 best = prob.argmax(1)
                 for i, b, p in zip(some, best, prob[np.arange(len(some)), best], strict=True):
                     lang[i], score[i] = network.languages[b], min(1.0, float(p))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     out = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return rows.mapInArrow(judge, out)
+    return docs.mapInArrow(judge, out)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

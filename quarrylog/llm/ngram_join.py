@@ -103,7 +103,7 @@ def set_table(docs: DataFrame) -> DataFrame:
             n, sid, low = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "key", "n", "sid", "low"])
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4 << 20)
     return docs.select(F.col("doc_id").cast("long"), key_of().alias("key"), "text").mapInArrow(sets, "doc_id long, key long, n long, sid long, low long")
 
 

@@ -17,6 +17,11 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def spot(names: list[str], name: str) -> int:
+    """Which of the columns Spark takes for a name: the one written so, else in other case."""
+    return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
+
+
 def packed(names: list[str]) -> tuple[Column, list[Column]]:
     """One struct column "own" of so many columns, and the columns that take it apart again; so their names clash with none of an operator's."""
     fields = [F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(names)]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylog.llm.langid import held_out
-from quarrylog.llm.shared import bounded_batches, labelled_sample, stash
+from quarrylog.llm.shared import bounded_batches, labelled_sample, spot, stash
 
 #: Bytes that don't belong to words become blanks; A-Z become a-z.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -257,16 +257,17 @@ def tag(docs: DataFrame, field: Field | None) -> DataFrame:
     """docs -> all their columns with score and spans (start, end, probability) of offending words."""
     docs = docs.drop(*("score", "spans"))
     names = docs.columns
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4 << 20)
     kinds = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
     if field is None:
         return docs.withColumns({"score": F.lit(0.0), "spans": F.array().cast(SPANS)})
+    where = spot(names, "text")
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
+            texts = batch.column(where).to_pylist()
             scores, spans, at = np.zeros(len(texts)), [[]] * len(texts), 0
             while at < len(texts):
                 own, tokens = [], 0
@@ -281,9 +282,9 @@ def tag(docs: DataFrame, field: Field | None) -> DataFrame:
                 for k in np.flatnonzero(d[:, 1] >= 0):
                     spans[at + k] = spans_of(texts[at + k], m[ends[k] - lengths[k] : ends[k]])
                 at += len(own)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores), pa.array(spans, arrow)], [*names, "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(spans, arrow)], [*names, "score", "spans"])
 
-    return docs.select("*", F.col("text").alias("_seen")).mapInArrow(judge, kinds)
+    return docs.mapInArrow(judge, kinds)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
